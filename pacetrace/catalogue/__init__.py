@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("laps",)
+FAMILIES = ("laps", "grid")
 
 
 def load():

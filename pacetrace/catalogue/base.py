@@ -177,3 +177,79 @@ cte(
   CASE WHEN n_nationkey % 2 = 0 THEN 'left' ELSE 'right' END AS apex_side,
   CASE WHEN n_nationkey % 3 = 0 THEN 6e1 END AS target_throttle_pct, 4e3 AS lap_length_m FROM nation""",
 )
+
+cte("c_len", "SELECT session_id, max(lap_distance_m) AS track_len FROM c_frames GROUP BY ALL")
+cte(
+    "c_kept",
+    """SELECT s.*, row_number() OVER (PARTITION BY s.session_id, segment_index ORDER BY frame_id) AS pos FROM c_seg s
+JOIN c_len USING (session_id) WHERE NOT (lap_time_s < 0 AND lap_distance_m > 2e3) AND NOT (lap_time_s < 0.5e0 AND lap_distance_m > 2e3)""",
+)
+cte(
+    "c_plat",
+    """SELECT *, sum(x) OVER (PARTITION BY session_id, segment_index ORDER BY pos) AS g FROM (SELECT *, CASE WHEN lap_time_s =
+  lag(lap_time_s) OVER (PARTITION BY session_id, segment_index ORDER BY pos) THEN 0 ELSE 1 END AS x FROM c_kept)""",
+)
+cte(
+    "c_platx",
+    """SELECT *, lead(v0) OVER (PARTITION BY session_id, segment_index ORDER BY g) AS v1 FROM (
+  SELECT session_id, segment_index, g, min(pos) AS p0, count(*) AS span, min(lap_time_s) AS v0 FROM c_plat GROUP BY session_id, segment_index, g)""",
+)
+cte(
+    "c_smooth",
+    """SELECT p.* EXCLUDE (lap_time_s, x), p.lap_time_s + coalesce((v1 - v0)*(pos - p0)/span, 0e0) AS lap_time_s
+FROM c_plat p JOIN c_platx USING (session_id, segment_index, g)""",
+)
+cte(
+    "c_pts",
+    """SELECT session_id, segment_index, frame_id, lap_distance_m AS x, lap_time_s AS t, speed_kph AS v, throttle_norm AS th, brake_norm AS br,
+  lead(lap_distance_m) OVER w AS x1, lead(lap_time_s) OVER w AS t1, lead(speed_kph) OVER w AS v1, lead(throttle_norm) OVER w AS th1,
+  lead(brake_norm) OVER w AS br1, row_number() OVER w AS q, max(ceil(lap_distance_m)) OVER (PARTITION BY session_id, segment_index) AS own_max
+FROM c_smooth WINDOW w AS (PARTITION BY session_id, segment_index ORDER BY lap_distance_m, frame_id)""",
+)
+cte(
+    "c_ref",
+    """SELECT session_id AS ref_session_id, segment_index AS ref_segment_index, duration_s AS ref_duration_s, max_distance_m AS ref_max_m FROM c_laps
+WHERE status = 'eligible' ORDER BY duration_s, session_id, segment_index LIMIT 1""",
+)
+# Every lap on a grid long enough for both itself and the reference; the reference on the longest of all.
+cte(
+    "c_lim",
+    """SELECT session_id, segment_index, greatest(own, CASE WHEN session_id = ref_session_id AND segment_index = ref_segment_index THEN mx ELSE rm END) AS hi_m
+FROM (SELECT session_id, segment_index, ceil(max_distance_m) AS own, max(ceil(max_distance_m)) OVER () AS mx FROM c_laps), (SELECT *, ceil(ref_max_m) AS rm FROM c_ref)""",
+)
+cte(
+    "c_cells",
+    """SELECT *, unnest(generate_series(CASE WHEN q = 1 THEN 0 ELSE greatest(ceil(x), 0) END::BIGINT,
+  CASE WHEN x1 IS NULL THEN hi_m ELSE least(ceil(x1) - 1, hi_m) END::BIGINT)) AS s FROM c_pts JOIN c_lim USING (session_id, segment_index)""",
+)
+cte(
+    "c_grid0",
+    """SELECT session_id, segment_index, CAST(s AS INT) AS s_m, """
+    + ", ".join(
+        f"CASE WHEN q = 1 AND s <= x THEN {a} WHEN x1 IS NULL THEN {a} ELSE {a} + (s - x)/(x1 - x)*({a}1 - {a}) END AS {n}"
+        for a, n in (("t", "lap_time_raw"), ("v", "speed_kph"), ("th", "throttle_norm"), ("br", "brake_norm"))
+    )
+    + " FROM c_cells",
+)
+cte(
+    "c_grid",
+    """SELECT *, max(lap_time_raw) OVER (PARTITION BY session_id, segment_index ORDER BY s_m) AS lap_time_s FROM c_grid0""",
+)
+cte(
+    "c_pair0",
+    """SELECT g.session_id, g.segment_index, g.s_m, g.lap_time_s, g.speed_kph, g.throttle_norm, g.brake_norm, r.lap_time_s AS ref_lap_time_s,
+  r.speed_kph AS ref_speed_kph, r.throttle_norm AS ref_throttle_norm, r.brake_norm AS ref_brake_norm, (g.lap_time_s - r.lap_time_s)*1000 AS dt,
+  count(*) OVER (PARTITION BY g.session_id, g.segment_index) AS n
+FROM c_grid g JOIN c_laps l ON l.session_id = g.session_id AND l.segment_index = g.segment_index AND l.status = 'eligible'
+JOIN c_ref ON TRUE JOIN c_grid r ON r.session_id = ref_session_id AND r.segment_index = ref_segment_index AND r.s_m = g.s_m""",
+)
+cte(
+    "c_cum",
+    """SELECT *, sum(dt) OVER (PARTITION BY session_id, segment_index ORDER BY s_m) AS cum, least(20, s_m, n - 1 - s_m) AS r FROM c_pair0""",
+)
+cte(
+    "c_pair",
+    """SELECT c.*, (h.cum - coalesce(l.cum, 0e0))/(2*c.r + 1) AS delta_ms FROM c_cum c
+JOIN c_cum h ON h.session_id = c.session_id AND h.segment_index = c.segment_index AND h.s_m = c.s_m + c.r
+LEFT JOIN c_cum l ON l.session_id = c.session_id AND l.segment_index = c.segment_index AND l.s_m = c.s_m - c.r - 1""",
+)

@@ -19,6 +19,7 @@ def make_spark(cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -90,7 +91,7 @@ def main(argv: list[str]) -> int:
             got = run(spark, sf_dir).toArrow()
             t1 = time.time()
             if name in oracles:
-                want = con.execute(oracles[name]).to_arrow_table()
+                want = con.sql(oracles[name]).to_arrow_table()
                 problem = compare(got, want)
             else:
                 problem = None
