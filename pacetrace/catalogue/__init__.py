@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("laps", "grid")
+FAMILIES = ("laps", "grid", "phases", "corners")
 
 
 def load():

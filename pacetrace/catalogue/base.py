@@ -52,6 +52,8 @@ cte(
   ((event_id % 201)-100)/1e2*3e0 AS wheel_ground_vel_lat_rl, ((event_id % 201)-100)/1e2*3e0 + 5e-1 AS wheel_ground_vel_lat_rr,
   CASE WHEN j % 5 = 0 AND od BETWEEN 43200000000 AND 45792000000 THEN 0e0 ELSE 8e1 + least(value, 2e2) END/3.6e0 AS wheel_ground_vel_lon_rl,
   CASE WHEN j % 5 = 0 AND od BETWEEN 43200000000 AND 45792000000 THEN 0e0 ELSE 8e1 + least(value, 2e2) END/3.6e0 + 1e-1 AS wheel_ground_vel_lon_rr,
+  degrees(atan2(((event_id % 201)-100)/1e2*3e0, CASE WHEN j % 5 = 0 AND od BETWEEN 43200000000 AND 45792000000 THEN 0e0 ELSE 8e1 + least(value, 2e2) END/3.6e0)) AS slip_angle_rl_deg,
+  degrees(atan2(((event_id % 201)-100)/1e2*2e0, CASE WHEN j % 5 = 0 AND od BETWEEN 43200000000 AND 45792000000 THEN 0e0 ELSE 8e1 + least(value, 2e2) END/3.6e0 + 1e-1)) AS slip_angle_rr_deg,
   0e0 AS grip_fraction_rl, CASE WHEN k % 10 <> 3 THEN k < 10 END AS tc_active, FALSE AS abs_active,
   CAST(event_id % 4 AS INT) AS surface_type_fl, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 3 AS INT) END AS surface_type_fr,
   CAST(event_id % 4 AS INT) AS surface_type_rl, CAST(event_id % 2 AS INT) AS surface_type_rr,

@@ -30,8 +30,8 @@ def paired(spark, sf):
 
 def aligned(spark, sf):
     f, laps, refs = paired(spark, sf)
-    eligible = laps.filter("status = 'eligible'")
-    return cp.align_laps(f, eligible, refs, ["track_id"], LAP_LENGTH_M), f, laps, refs
+    pairs = cp.pair_laps(laps.filter("status = 'eligible'"), refs, ["track_id"])
+    return cp.align_laps(f, pairs, LAP_LENGTH_M), f, laps, refs
 
 
 cte("c_own", """SELECT *, unnest(generate_series(CASE WHEN q = 1 THEN 0 ELSE greatest(ceil(x), 0) END::BIGINT,
@@ -87,7 +87,7 @@ def _(spark, sf):
 def _(spark, sf):
     f, laps, refs = paired(spark, sf)
     pairs = cp.pair_laps(laps.filter("status = 'eligible'"), refs, ["track_id"])
-    return cp.paired_grid(materialise(cp.lap_grids(f, pairs, LAP_LENGTH_M, ["lap_time_s"])), pairs)
+    return cp.paired_grid(f, pairs, LAP_LENGTH_M, ["lap_time_s"])
 
 
 @query("boxcar_smoothing", "A6", K + "s_m ~speed_kph",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 65536
 
 
-def _chunk(order: str, rows: int) -> Column:
+def chunk_of(order: str, rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
@@ -49,7 +49,7 @@ def scan(
     def packed(cols: Mapping[str, Column | str]) -> Column:
         return F.struct(*[_col(c).alias(n) for n, c in cols.items()])
 
-    base = df.withColumn("__c", _chunk(order, chunk_rows))
+    base = df.withColumn("__c", chunk_of(order, chunk_rows))
     edge = []
     if prev:
         edge.append(F.max_by(packed(prev), o).alias("__prev"))
@@ -126,7 +126,7 @@ def run_pieces(
     narrow = df.select(
         *keys,
         F.col(order).alias("piece_start"),
-        _chunk(order, chunk_rows).alias("__c"),
+        chunk_of(order, chunk_rows).alias("__c"),
         _col(value).alias("run_value"),
         *[_col(c).alias(n) for n, c in carry.items()],
     )
@@ -190,7 +190,7 @@ def tag_runs(
     p = pieces.select(
         *keys, "__c", "piece_start", "piece_end", *[F.col(a).alias(b) for a, b in names.items()]
     )
-    tagged = df.withColumn("__c", _chunk(order, chunk_rows)).join(
+    tagged = df.withColumn("__c", chunk_of(order, chunk_rows)).join(
         p,
         [*keys, "__c"],
     )
@@ -200,48 +200,55 @@ def tag_runs(
     ).select(*df.columns, *names.values())
 
 
-def kth_value(
+def kth_values(
     df: DataFrame,
     keys: Sequence[str],
     value: Column | str,
-    rank: Column,
-    out: str,
+    ranks: Mapping[str, Column],
     buckets: int = 1024,
 ) -> DataFrame:
-    """Exact order statistic per key without sorting a whole key in one task.
+    """Exact order statistics per key without sorting a whole key in one task.
 
-    ``rank`` is a 0-based rank written over the column ``n`` (rows in the key).  Equal values are counted
-    first (map side), a histogram of equal-width buckets finds the bucket that holds the rank, and only
-    that bucket's values are sorted.  Returns keys, ``n`` and ``out``.
+    ``ranks``: output name → 0-based rank written over the column ``n`` (rows in the key).  Equal values are
+    counted first (map side), a histogram of equal-width buckets finds the buckets that hold the ranks, and
+    only those buckets' values are sorted.  Returns keys, ``n`` and one column per rank.
     """
+    keys = list(keys)
     vals = (
         df.select(*keys, _col(value).cast("double").alias("__v"))
         .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    bounds = vals.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n")
-    )
+    bounds = vals.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n"))
     span = F.col("__hi") - F.col("__lo")
     bucket = F.when(span <= 0, F.lit(0)).otherwise(
         F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / span * buckets).cast("int"))
     )
-    placed = vals.join(bounds, list(keys)).withColumn("__b", bucket)
+    placed = vals.join(bounds, keys).withColumn("__b", bucket)
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()]))
     hist = (
         placed.groupBy(*keys, "__b")
-        .agg(F.sum("__n").alias("__m"), F.first("n").alias("n"))
+        .agg(F.sum("__n").alias("__m"), F.max("n").alias("n"))
         .withColumn("__cum", F.sum("__m").over(w))
-        .withColumn("__rank", rank.cast("long"))
-        .filter((F.col("__rank") < F.col("__cum")) & (F.col("__rank") >= F.col("__cum") - F.col("__m")))
-        .select(*keys, "__b", "n", (F.col("__rank") - (F.col("__cum") - F.col("__m"))).alias("__r"))
+        .withColumn("__w", wanted)
+        .filter((F.col("__w.rank") < F.col("__cum")) & (F.col("__w.rank") >= F.col("__cum") - F.col("__m")))
+        .groupBy(*keys, "__b", "n")
+        .agg(F.collect_list(F.struct("__w.name", (F.col("__w.rank") - (F.col("__cum") - F.col("__m"))).alias("r"))).alias("__ws"))
     )
-    wv = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.drop("n")
-        .join(hist, [*keys, "__b"])
+    wv = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = (
+        placed.drop("n").join(hist, [*keys, "__b"])
         .withColumn("__cum", F.sum("__n").over(wv))
-        .filter((F.col("__r") < F.col("__cum")) & (F.col("__r") >= F.col("__cum") - F.col("__n")))
-        .select(*keys, "n", F.col("__v").alias(out))
+        .withColumn("__w", F.explode("__ws"))
+        .filter((F.col("__w.r") < F.col("__cum")) & (F.col("__w.r") >= F.col("__cum") - F.col("__n")))
+    )
+    return hit.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("__w.name") == k, F.col("__v"))).alias(k) for k in ranks]
     )
+
+
+def kth_value(df: DataFrame, keys: Sequence[str], value: Column | str, rank: Column, out: str) -> DataFrame:
+    """One order statistic; see :func:`kth_values`."""
+    return kth_values(df, keys, value, {out: rank})

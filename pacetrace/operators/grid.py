@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK_ROWS, kth_value, scan
+from ..functions.ordered import CHUNK_ROWS, chunk_of, kth_value, scan
 from ..functions.ranges import range_join
 from .segments import LAP
 
@@ -33,11 +33,68 @@ def strip_boundary(frames: DataFrame, track_len: Column) -> DataFrame:
 
 
 def _run_context(frames: DataFrame, keys: Sequence[str], order: str, value: str, chunk_rows: int) -> DataFrame:
-    """Add ``pos`` (row ordinal), ``run`` (start of the row's run) and ``nxt`` (start of the next run)."""
-    f = scan(frames, keys, order, prev={"before": value}, sums={"pos": F.lit(1)}, chunk_rows=chunk_rows)
-    starts = F.col("before").isNull() | (F.col("before") != F.col(value))
-    mark = F.when(starts, F.struct(F.col("pos"), F.col(value).alias("v"), F.col("before").alias("before")))
-    return scan(f, keys, order, fill={"run": mark}, fill_back={"nxt": mark}, chunk_rows=chunk_rows)
+    """Add ``run`` and ``nxt``: (pos, v, before) of the start of the row's run of equal values and of the next
+    run; ``pos`` is the row's ordinal in its key.
+
+    One pass: each chunk treats its first row as a possible start, and the chunk table settles whether it is
+    one and hands the open run and the next start across chunk borders.
+    """
+    v = F.col(value)
+    w = Window.partitionBy(*keys, "__c").orderBy(order)
+    back = Window.partitionBy(*keys, "__c").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    inner_start = (F.col("__rn") > 1) & ~F.col("__p.v").eqNullSafe(v)
+    mark = F.when(inner_start, F.struct(F.col("__rn").alias("pos"), v.alias("v"), F.col("__p.v").alias("before")))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return (
+            df.withColumn("__c", chunk_of(order, chunk_rows))
+            .withColumn("__rn", F.row_number().over(w).cast("long"))
+            .withColumn("__p", F.lag(F.struct(v.alias("v"))).over(w))
+            .withColumn("__mark", mark)
+        )
+
+    chunks = marked(frames.select(*keys, order, value)).groupBy(*keys, "__c").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct(v.alias("v")), order).alias("first_v"),
+        F.max_by(F.struct(v.alias("v")), order).alias("last_v"),
+        F.min("__mark").alias("first_mark"),
+        F.max("__mark").alias("last_mark"),
+    )
+    wc = Window.partitionBy(*keys).orderBy("__c")
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("__c")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def shifted(m: Column) -> Column:
+        return F.when(
+            m.isNotNull(), F.struct((m["pos"] + F.col("__off")).alias("pos"), m["v"].alias("v"), m["before"].alias("before"))
+        )
+
+    real = F.col("prev_v").isNull() | ~F.col("prev_v.v").eqNullSafe(F.col("first_v.v"))
+    own = F.struct((F.col("__off") + 1).alias("pos"), F.col("first_v.v").alias("v"), F.col("prev_v.v").alias("before"))
+    chunks = (
+        chunks.withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("prev_v", F.lag("last_v").over(wc))
+        .withColumn("own", F.when(real, own))
+        .withColumn("lead_mark", F.coalesce("own", shifted(F.col("first_mark"))))
+        .withColumn("tail_mark", F.coalesce(shifted(F.col("last_mark")), F.col("own")))
+        .select(
+            *keys, "__c", "__off",
+            F.coalesce("own", F.last("tail_mark", True).over(before)).alias("__open"),
+            F.last("lead_mark", True).over(after).alias("__coming"),
+        )
+    )
+    f = (
+        marked(frames)
+        .withColumn("__run", F.last("__mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("__nxt", F.last("__mark", True).over(back))
+        .join(chunks, [*keys, "__c"])
+    )
+    return f.select(
+        *frames.columns,
+        (F.col("__off") + F.col("__rn")).alias("pos"),
+        F.coalesce(shifted(F.col("__run")), F.col("__open")).alias("run"),
+        F.coalesce(shifted(F.col("__nxt")), F.col("__coming")).alias("nxt"),
+    )
 
 
 def smooth_clock(

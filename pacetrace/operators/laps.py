@@ -25,22 +25,33 @@ def measured_laps(seg_frames: DataFrame, sidecar: DataFrame | None = None) -> Da
 
     ``sidecar`` (session_id, sample_rate_hz) overrides the derived sample rate where it has one.
     """
-    m = sg.segment_measures(seg_frames)
-    d = sg.durations(m, sg.lap_start_clock(seg_frames))
-    rates = sg.sample_rate(m)
+    d = sg.durations(sg.segment_measures(seg_frames), sg.lap_start_clock(seg_frames))
+    d = d.join(sg.stationary_seconds(seg_frames), LAP, "left")
+    # The session's rate, yardstick and flag trust as windows over its laps: one shuffle of the lap table.
+    ws = Window.partitionBy("session_id")
+    w = ws.orderBy("segment_index")
+    span = F.col("last_clock_s") - F.col("first_clock_s")
+    timed = (F.col("frames") >= 2) & (span > 0)
+    positive = F.col("duration_s") > 0
+    d = (
+        d.withColumn("prev_lap_number", F.lag("lap_number").over(w))
+        .withColumn("is_last", F.lead("lap_number").over(w).isNull())
+        .withColumn("stationary_s", F.coalesce("stationary_s", F.lit(0.0)))
+        .withColumn("rate_hz", F.percentile(F.when(timed, F.col("frames") / span), 0.5).over(ws))
+    )
     if sidecar is not None:
-        rates = rates.join(sidecar.select("session_id", "sample_rate_hz"), "session_id", "full_outer").select(
-            "session_id", F.coalesce("sample_rate_hz", "rate_hz").alias("rate_hz")
+        d = d.join(sidecar.select("session_id", "sample_rate_hz"), "session_id", "left").withColumn(
+            "rate_hz", F.coalesce("sample_rate_hz", "rate_hz")
         )
-    w = Window.partitionBy("session_id").orderBy("segment_index")
+    interior = positive & (F.col("segment_index") > 0) & ~F.col("is_last")
     return (
-        sg.row_rate(sg.coverage(d), rates)
-        .join(sg.stationary_seconds(seg_frames), LAP, "left")
-        .join(sg.yardstick(d), "session_id")
-        .join(sg.validity_trust(m), "session_id")
-        .withColumn("stationary_s", F.coalesce("stationary_s", F.lit(0.0)))
-        .withColumn("prev_lap_number", F.lag("lap_number").over(w))
-        .withColumn("is_last", F.lead("lap_number").over(w).isNull())
+        sg.coverage(d)
+        .withColumn("row_rate", sg.row_rate_ratio())
+        .withColumn("yardstick_s", sg.yardstick_of(interior, positive, ws))
+        .withColumn(
+            "validity_trusted",
+            F.coalesce(F.min("valid_lo").over(ws) != F.max("valid_hi").over(ws), F.lit(False)),
+        )
     )
 
 

@@ -77,12 +77,16 @@ def stationary_seconds(seg_frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
     """Longest stretch below pit-lane speed; a stretch ends at the first sample after it."""
     below = F.coalesce(F.col("speed_kph") < PIT_STOP_SPEED_KPH, F.lit(False))
     stretch = runs(seg_frames, LAP, "frame_id", below, {"clock": "session_time_s"}, chunk_rows)
-    last = seg_frames.groupBy(*LAP).agg(F.max("session_time_s").alias("last_clock"))
     w = Window.partitionBy(*LAP).orderBy("run_start")
+    slow = stretch.withColumn("until", F.lead("clock").over(w)).filter("run_value")
+    # Only laps with a slow stretch need their last clock, for a stretch that is still open at the end.
+    last = (
+        seg_frames.join(slow.filter("until IS NULL").select(*LAP), LAP, "left_semi")
+        .groupBy(*LAP)
+        .agg(F.max("session_time_s").alias("last_clock"))
+    )
     return (
-        stretch.withColumn("until", F.lead("clock").over(w))
-        .filter("run_value")
-        .join(last, LAP)
+        slow.join(last, LAP, "left")
         .groupBy(*LAP)
         .agg(F.max(F.coalesce("until", "last_clock") - F.col("clock")).alias("stationary_s"))
     )
@@ -162,12 +166,20 @@ def sample_rate(measures: DataFrame) -> DataFrame:
     )
 
 
+def row_rate_ratio() -> Column:
+    span = F.col("last_clock_s") - F.col("first_clock_s")
+    return F.when((F.col("rate_hz") > 0) & (span > 0), F.col("frames") / (span * F.col("rate_hz")))
+
+
 def row_rate(measures: DataFrame, rates: DataFrame) -> DataFrame:
     """Rows per expected row over the clock span of each segment."""
-    span = F.col("last_clock_s") - F.col("first_clock_s")
-    return measures.join(rates, "session_id", "left").withColumn(
-        "row_rate", F.when((F.col("rate_hz") > 0) & (span > 0), F.col("frames") / (span * F.col("rate_hz")))
-    )
+    return measures.join(rates, "session_id", "left").withColumn("row_rate", row_rate_ratio())
+
+
+def yardstick_of(interior: Column, positive: Column, over=None) -> Column:
+    """Median interior duration, else median of all; an aggregate, or a window function with ``over``."""
+    parts = [F.percentile(F.when(cond, F.col("duration_s")), 0.5) for cond in (interior, positive)]
+    return F.coalesce(*[p.over(over) if over is not None else p for p in parts], F.lit(0.0))
 
 
 def yardstick(durs: DataFrame) -> DataFrame:
@@ -176,13 +188,7 @@ def yardstick(durs: DataFrame) -> DataFrame:
     d = durs.withColumn("last_index", F.max("segment_index").over(w))
     positive = F.col("duration_s") > 0
     interior = positive & (F.col("segment_index") > 0) & (F.col("segment_index") < F.col("last_index"))
-    return d.groupBy("session_id").agg(
-        F.coalesce(
-            F.percentile(F.when(interior, F.col("duration_s")), 0.5),
-            F.percentile(F.when(positive, F.col("duration_s")), 0.5),
-            F.lit(0.0),
-        ).alias("yardstick_s")
-    )
+    return d.groupBy("session_id").agg(yardstick_of(interior, positive).alias("yardstick_s"))
 
 
 def validity_trust(measures: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 from ..operators import grid as gr
+from ..operators import phases as ph
 from ..operators.segments import LAP
 
 REF = ["ref_session_id", "ref_segment_index"]
@@ -46,19 +47,47 @@ def lap_grids(
     return gr.lap_grid(f, channels, limit="grid_end_m")
 
 
-def paired_grid(grids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Driver and reference channels side by side per metre, with the raw time difference."""
-    refs = pairs.filter("is_reference").select(*LAP)
-    ref_grid = grids.join(refs, LAP).select(
-        F.col("session_id").alias("ref_session_id"),
-        F.col("segment_index").alias("ref_segment_index"),
-        *[c for c in grids.columns if c not in LAP],
+def paired_grid(
+    seg_frames: DataFrame, pairs: DataFrame, lap_length_m: float, channels=gr.GRID_CHANNELS, prepare=lambda g: g
+) -> DataFrame:
+    """Driver and reference channels side by side per metre, with the raw time difference.
+
+    The reference side is gridded from the reference laps' frames alone, so it stays small enough for Spark
+    to broadcast it and the driver grid keeps its partitioning by lap.  ``prepare`` adds per-lap columns.
+    """
+    driver = prepare(lap_grids(seg_frames, pairs, lap_length_m, channels)).join(
+        pairs.select(*LAP, *REF, "track_id"), LAP
     )
-    return gr.delta_trace(grids.join(pairs.select(*LAP, *REF), LAP), ref_grid, REF)
+    refs = prepare(lap_grids(seg_frames, pairs.filter("is_reference"), lap_length_m, channels))
+    names = [c for c in refs.columns if c not in LAP]
+    refs = refs.select(F.col("session_id").alias(REF[0]), F.col("segment_index").alias(REF[1]), *names)
+    return gr.delta_trace(driver, refs, REF)
 
 
-def align_laps(seg_frames: DataFrame, laps: DataFrame, references: DataFrame, by: list[str], lap_length_m: float) -> DataFrame:
+def align_laps(
+    seg_frames: DataFrame, pairs: DataFrame, lap_length_m: float, prepare=lambda g: g
+) -> DataFrame:
     """The six alignment steps for all laps at once: strip, smooth, resample, clamp, difference, boxcar."""
-    pairs = pair_laps(laps, references, by)
-    grids = materialise(lap_grids(seg_frames, pairs, lap_length_m))
-    return gr.boxcar(paired_grid(grids, pairs), "delta_ms")
+    return gr.boxcar(paired_grid(seg_frames, pairs, lap_length_m, prepare=prepare), "delta_ms")
+
+
+def compare_events(seg_frames: DataFrame, pairs: DataFrame, corners: DataFrame, lap_length_m: float) -> DataFrame:
+    """Phase points of every paired lap against its track's reference."""
+    aligned = align_laps(seg_frames, pairs, lap_length_m, prepare=ph.pedal_events)
+    return ph.corner_events(aligned, ph.corner_bounds(corners))
+
+
+def compare_laps(
+    seg_frames: DataFrame,
+    laps: DataFrame,
+    references: DataFrame,
+    corners: DataFrame,
+    lap_length_m: float,
+    reject_slow: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Guard status of every lap, and the phase facts of those that pass it."""
+    pairs = pair_laps(laps, references, ["track_id"])
+    stripped = gr.strip_stale(seg_frames, F.lit(lap_length_m))
+    guard = materialise(ph.comparison_guard(stripped, pairs, lap_length_m, reject_slow))
+    good = pair_laps(guard.filter("guard = 'ok'").select(*laps.columns), references, ["track_id"])
+    return guard, ph.corner_phase_facts(compare_events(seg_frames, good, corners, lap_length_m))

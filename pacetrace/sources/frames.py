@@ -59,6 +59,8 @@ def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (steer * 3e0 + 5e-1).alias("wheel_ground_vel_lat_rr"),
         (speed / 3.6e0).alias("wheel_ground_vel_lon_rl"),
         (speed / 3.6e0 + 1e-1).alias("wheel_ground_vel_lon_rr"),
+        F.degrees(F.atan2(steer * 3e0, speed / 3.6e0)).alias("slip_angle_rl_deg"),
+        F.degrees(F.atan2(steer * 2e0, speed / 3.6e0 + 1e-1)).alias("slip_angle_rr_deg"),
         F.lit(0e0).alias("grip_fraction_rl"),
         F.when(F.col("k") % 10 != 3, F.col("k") < 10).alias("tc_active"),
         F.lit(False).alias("abs_active"),
