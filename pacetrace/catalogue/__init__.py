@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("laps", "grid", "phases", "corners")
+FAMILIES = ("laps", "grid", "phases", "corners", "inputs")
 
 
 def load():

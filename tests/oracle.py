@@ -46,7 +46,7 @@ def _kind(t: pa.DataType) -> str:
 
 
 def _key(row):
-    return tuple((v is not None, str(type(v)), round(v, 4) if isinstance(v, float) else v) for v in row)
+    return tuple((v is not None, str(type(v)), round(v, 6) if isinstance(v, float) else v) for v in row)
 
 
 def _same(a, b) -> bool:
