@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("laps", "grid", "phases", "corners", "inputs")
+FAMILIES = ("laps", "grid", "phases", "corners", "inputs", "debrief")
 
 
 def load():
