@@ -27,15 +27,16 @@ def range_join(
 ) -> DataFrame:
     """Pair each point with the intervals [lo, hi] (or [lo, hi)) of the same keys that hold ``x``."""
     cut = lambda c: F.floor(c / F.lit(bucket_m)).cast("long")
-    right = intervals.filter(F.col(hi) >= F.col(lo)).withColumn(
-        "__b", F.explode(F.sequence(cut(F.col(lo)), cut(F.col(hi))))
+    payload = [c for c in intervals.columns if c not in points.columns]
+    # The interval side gets names of its own, so both sides may come from the same table.
+    right = intervals.filter(F.col(hi) >= F.col(lo)).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(lo).alias("__lo"), F.col(hi).alias("__hi"),
+        *[F.col(c).alias(f"__r_{c}") for c in payload],
+        F.explode(F.sequence(cut(F.col(lo)), cut(F.col(hi)))).alias("__rb"),
     )
     left = points.withColumn("__b", cut(F.col(x)))
-    inside = (left[x] >= right[lo]) & ((left[x] <= right[hi]) if include_hi else (left[x] < right[hi]))
-    on = inside & (left["__b"] == right["__b"])
+    on = (F.col("__b") == F.col("__rb")) & (F.col(x) >= F.col("__lo"))
+    on = on & ((F.col(x) <= F.col("__hi")) if include_hi else (F.col(x) < F.col("__hi")))
     for k in keys:
-        on = on & (left[k] == right[k])
-    joined = left.join(right, on, how)
-    own = [left[c] for c in points.columns]
-    theirs = [right[c] for c in intervals.columns if c not in points.columns]
-    return joined.select(*own, *theirs)
+        on = on & (F.col(k) == F.col(f"__k_{k}"))
+    return left.join(right, on, how).select(*points.columns, *[F.col(f"__r_{c}").alias(c) for c in payload])

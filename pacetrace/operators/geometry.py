@@ -29,7 +29,11 @@ TANGENT_WINDOW_M = 2.0
 HEAT_STEP_M = 2
 
 TRACK = ["track_id"]
-WT = Window.partitionBy("track_id").orderBy("s_m")
+
+
+def _along():
+    """The bins of a track in order."""
+    return Window.partitionBy("track_id").orderBy("s_m")
 
 
 def width_profile(frames: DataFrame, bin_m: float = 1.0) -> DataFrame:
@@ -57,11 +61,11 @@ def smooth_profile(profile: DataFrame, max_gap: int = MAX_INTERPOLATE_GAP, windo
 
     A longer gap stays at width 0 and gives nothing to its neighbours, but does not end their window.
     """
-    upto = WT.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _along().rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("track_id").orderBy(F.desc("s_m")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.col("status") != "missing"
     side = lambda s: F.when(F.col(f"{s}_samples") > 0, F.col(f"{s}_width_m"))
-    p = profile.withColumn("i", F.row_number().over(WT)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
+    p = profile.withColumn("i", F.row_number().over(_along())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
     mark = F.when(known, F.struct("i", side("left").alias("left"), side("right").alias("right")))
     p = p.withColumn("a", F.last(mark, True).over(upto)).withColumn("z", F.last(mark, True).over(back))
     before, after = F.coalesce("a.i", F.lit(0)), F.coalesce("z.i", F.col("n") + 1)
@@ -73,7 +77,7 @@ def smooth_profile(profile: DataFrame, max_gap: int = MAX_INTERPOLATE_GAP, windo
         return F.when(known, side(s)).when(short, F.coalesce(va + t * (vz - va), va, vz))
 
     p = p.withColumn("fl", filled("left")).withColumn("fr", filled("right"))
-    near = WT.rowsBetween(-window, window)
+    near = _along().rowsBetween(-window, window)
     barrier = ~known & F.col("fl").isNull() & F.col("fr").isNull()
     smooth = lambda c: F.when(barrier, 0.0).otherwise(F.coalesce(F.avg(c).over(near), F.lit(0.0)))
     return p.withColumn("left_smooth_m", smooth("fl")).withColumn("right_smooth_m", smooth("fr")).drop("i", "n", "a", "z", "fl", "fr")
@@ -83,11 +87,11 @@ def infer_one_sided(profile: DataFrame, left: str = "left_width_m", right: str =
     """Infer the missing side of short one-sided runs from the total width of complete bins around them."""
     lw, rw = F.col(left), F.col(right)
     p = profile.withColumn("side", F.when((lw <= 0) & (rw > 0), "left").when((rw <= 0) & (lw > 0), "right"))
-    change = ~F.lag("side").over(WT).eqNullSafe(F.col("side"))
-    p = p.withColumn("run", F.sum(change.cast("int")).over(WT))
+    change = ~F.lag("side").over(_along()).eqNullSafe(F.col("side"))
+    p = p.withColumn("run", F.sum(change.cast("int")).over(_along()))
     p = p.withColumn("run_len", F.count(F.lit(1)).over(Window.partitionBy("track_id", "run")))
     complete = (lw > 0) & (rw > 0) & ((F.col("status") == "complete") | (F.col("confidence") >= 0.75))
-    near = F.array_sort(F.collect_list(F.when(complete, lw + rw)).over(WT.rowsBetween(-INFER_WINDOW, INFER_WINDOW)))
+    near = F.array_sort(F.collect_list(F.when(complete, lw + rw)).over(_along().rowsBetween(-INFER_WINDOW, INFER_WINDOW)))
     p = p.withColumn("totals", near).withColumn("k", F.size("totals"))
     at = lambda i: F.get(F.col("totals"), i.cast("int"))
     median = (at(F.floor((F.col("k") - 1) / 2)) + at(F.floor(F.col("k") / 2))) / 2
@@ -110,8 +114,8 @@ def boundaries(path: DataFrame, profile: DataFrame, left: Column, right: Column)
 
     Path points without a profile bin are kept with ``matched`` false and no positions, for counting.
     """
-    lead = lambda c: F.coalesce(F.lead(c).over(WT), F.col(c))
-    lag = lambda c: F.coalesce(F.lag(c).over(WT), F.col(c))
+    lead = lambda c: F.coalesce(F.lead(c).over(_along()), F.col(c))
+    lag = lambda c: F.coalesce(F.lag(c).over(_along()), F.col(c))
     p = path.withColumn("dx", lead("x_m") - lag("x_m")).withColumn("dz", lead("z_m") - lag("z_m"))
     length = F.hypot("dx", "dz")
     p = p.withColumn("nx", F.when(length >= 1e-12, -F.col("dz") / length).otherwise(0.0)).withColumn(
@@ -140,10 +144,10 @@ def smooth_boundary(points: DataFrame, width: str, cols: Sequence[str], window:
 
     Stretches end at zero width and at gaps of more than two bins.
     """
-    gap = F.col("s_m") - F.lag("s_m").over(WT) > 2 * bin_m
+    gap = F.col("s_m") - F.lag("s_m").over(_along()) > 2 * bin_m
     barrier = F.col(width) == 0
-    cut = barrier | F.coalesce(gap, F.lit(False)) | F.coalesce(F.lag(width).over(WT) == 0, F.lit(False))
-    p = points.withColumn("part", F.sum(cut.cast("int")).over(WT))
+    cut = barrier | F.coalesce(gap, F.lit(False)) | F.coalesce(F.lag(width).over(_along()) == 0, F.lit(False))
+    p = points.withColumn("part", F.sum(cut.cast("int")).over(_along()))
     near = Window.partitionBy("track_id", "part").orderBy("s_m").rowsBetween(-window, window)
     p = p.withColumn("near", F.collect_list(F.struct("s_m", *cols)).over(near))
     for c in cols:

@@ -30,21 +30,25 @@ ZONE_HALF_WIDTH_M = 120
 ZONE_CORE_M = 12
 MAX_MATCH_M = 150.0
 
-W = Window.partitionBy(*LAP).orderBy("s_m")
 CANDIDATE = "session_id string, segment_index int, apex_m int, min_speed double, prominence double, s_start_m double, s_end_m double"
 
 
+def _along():
+    """The metres of a lap in order."""
+    return Window.partitionBy(*LAP).orderBy("s_m")
+
+
 def _zones(grid: DataFrame, flag: Column, kind: str, merge_released: bool) -> DataFrame:
     """Runs of ``flag`` along the lap: (s0, s1, kind).  Braking runs join when the pedal never reached zero between them."""
-    g = grid.withColumn("on", flag).withColumn("prev_on", F.lag("on").over(W))
+    g = grid.withColumn("on", flag).withColumn("prev_on", F.lag("on").over(_along()))
     # A new zone starts where the flag rises; when joining, only if the brake touched zero since the last one.
     rise = F.col("on") & ~F.coalesce("prev_on", F.lit(False))
     if merge_released:
-        upto = W.rowsBetween(Window.unboundedPreceding, 0)
-        g = g.withColumn("last_on", F.last(F.when(F.col("on"), F.col("s_m")), True).over(W.rowsBetween(Window.unboundedPreceding, -1)))
+        upto = _along().rowsBetween(Window.unboundedPreceding, 0)
+        g = g.withColumn("last_on", F.last(F.when(F.col("on"), F.col("s_m")), True).over(_along().rowsBetween(Window.unboundedPreceding, -1)))
         g = g.withColumn("last_free", F.last(F.when(F.col("brake_norm") <= 0, F.col("s_m")), True).over(upto))
         rise = rise & (F.col("last_on").isNull() | F.coalesce(F.col("last_free") > F.col("last_on"), F.lit(False)))
-    g = g.withColumn("z", F.sum(rise.cast("int")).over(W))
+    g = g.withColumn("z", F.sum(rise.cast("int")).over(_along()))
     return g.filter("on").groupBy(*LAP, "z").agg(F.min("s_m").alias("s0"), F.max("s_m").alias("s1")).filter(
         F.col("s1") - F.col("s0") >= MIN_EVENT_M).select(*LAP, "s0", "s1", F.lit(kind).alias("kind"))
 
@@ -58,8 +62,8 @@ def pedal_candidates(grid: DataFrame) -> DataFrame:
     z = z.withColumn("zone", F.sum(F.coalesce(F.col("s0") - F.col("reach") > MAX_GAP_M, F.lit(True)).cast("int")).over(wz))
     z = z.groupBy(*LAP, "zone").agg(
         F.min("s0").cast("double").alias("z_lo"), F.max("s1").cast("double").alias("z_hi"), F.max((F.col("kind") == "brake").cast("int")).alias("braked"))
-    left = F.max("speed_kph").over(W.rowsBetween(-PROMINENCE_M, -1))
-    right = F.max("speed_kph").over(W.rowsBetween(1, PROMINENCE_M))
+    left = F.max("speed_kph").over(_along().rowsBetween(-PROMINENCE_M, -1))
+    right = F.max("speed_kph").over(_along().rowsBetween(1, PROMINENCE_M))
     g = grid.withColumn("lp", F.coalesce(left, "speed_kph")).withColumn("rp", F.coalesce(right, "speed_kph")).withColumn("s_x", F.col("s_m").cast("double"))
     at = F.struct("speed_kph", "s_m", "lp", "rp")
     c = range_join(g, z, LAP, "s_x", "z_lo", "z_hi").groupBy(*LAP, "zone", "z_lo", "z_hi", "braked").agg(
@@ -74,43 +78,39 @@ def pedal_candidates(grid: DataFrame) -> DataFrame:
         F.col("z_lo").alias("s_start_m"), F.col("z_hi").alias("s_end_m"))
 
 
-def _keep_strongest(pdf: pd.DataFrame, min_separation_m: int) -> pd.DataFrame:
-    """Greedy choice among one lap's candidates (tens of rows), strongest first; losers widen their winners."""
-    kept: list[dict] = []
-    order = pdf.sort_values(["prominence", "min_speed", "apex_m"], ascending=[False, True, True], kind="stable")
-    for c in order.to_dict("records"):
-        near = [k for k in kept if abs(c["apex_m"] - k["apex_m"]) < min_separation_m]
-        apart = False
-        for k in near:
-            end, start = min(k["s_end_m"], c["s_end_m"]), max(k["s_start_m"], c["s_start_m"])
-            later = c if c["s_start_m"] >= k["s_start_m"] else k
-            # ``open_from``: since where the throttle has been wide open up to the later zone's start.
-            apart = apart or (start - end - 1 >= WOT_GAP_M and later["open_from"] <= end + 1)
-        if near and not apart:
-            for k in near:
-                if c["s_start_m"] < k["s_start_m"]:
-                    k["s_start_m"], k["open_from"] = c["s_start_m"], c["open_from"]
-                k["s_end_m"] = max(k["s_end_m"], c["s_end_m"])
-        else:
-            kept.append(c)
-    return pd.DataFrame(kept, columns=pdf.columns)
-
-
 def merge_close(candidates: DataFrame, grid: DataFrame | None, min_separation_m: int = MIN_SEPARATION_M) -> DataFrame:
     """Keep the most prominent of candidates closer than ``min_separation_m``, unless the throttle was wide open between them."""
     if grid is None:
         c = candidates.withColumn("open_from", F.lit(1e9))
     else:
-        closed = F.last(F.when(F.col("throttle_norm") < WOT, F.col("s_m")), True).over(W.rowsBetween(Window.unboundedPreceding, -1))
+        closed = F.last(F.when(F.col("throttle_norm") < WOT, F.col("s_m")), True).over(_along().rowsBetween(Window.unboundedPreceding, -1))
         o = grid.select(*LAP, F.col("s_m").cast("double").alias("s_start_m"), (F.coalesce(closed, F.lit(-1)) + 1).cast("double").alias("open_from"))
         c = candidates.join(o, [*LAP, "s_start_m"])
     schema = CANDIDATE + ", open_from double"
     cols = [f.strip().split(" ")[0] for f in schema.split(",")]
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _keep_strongest(pdf, min_separation_m)
-
-    return c.select(*cols).groupBy(*LAP).applyInPandas(choose, schema).drop("open_from")
+    def keep_strongest(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Greedy choice among one lap's candidates (tens of rows), strongest first; losers widen their winners."""
+        kept: list[dict] = []
+        order = pdf.sort_values(["prominence", "min_speed", "apex_m"], ascending=[False, True, True], kind="stable")
+        for c in order.to_dict("records"):
+            near = [k for k in kept if abs(c["apex_m"] - k["apex_m"]) < min_separation_m]
+            apart = False
+            for k in near:
+                end, start = min(k["s_end_m"], c["s_end_m"]), max(k["s_start_m"], c["s_start_m"])
+                later = c if c["s_start_m"] >= k["s_start_m"] else k
+                # ``open_from``: since where the throttle has been wide open up to the later zone's start.
+                apart = apart or (start - end - 1 >= WOT_GAP_M and later["open_from"] <= end + 1)
+            if near and not apart:
+                for k in near:
+                    if c["s_start_m"] < k["s_start_m"]:
+                        k["s_start_m"], k["open_from"] = c["s_start_m"], c["open_from"]
+                    k["s_end_m"] = max(k["s_end_m"], c["s_end_m"])
+            else:
+                kept.append(c)
+        return pd.DataFrame(kept, columns=pdf.columns)
+
+    return c.select(*cols).groupBy(*LAP).applyInPandas(keep_strongest, schema).drop("open_from")
 
 
 def separate_zones(candidates: DataFrame) -> DataFrame:
@@ -151,11 +151,11 @@ def detect_from_pedals(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M
 def detect_from_speed(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M) -> DataFrame:
     """Corners of each lap from speed minima alone."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*LAP))
-    g = grid.withColumn("v", F.avg("speed_kph").over(W.rowsBetween(-2, 2))).withColumn("n", n)
-    low = F.min("v").over(W.rowsBetween(-LOCAL_RADIUS_M, LOCAL_RADIUS_M))
-    lp, rp = F.max("v").over(W.rowsBetween(-PROMINENCE_M, -1)), F.max("v").over(W.rowsBetween(1, PROMINENCE_M))
+    g = grid.withColumn("v", F.avg("speed_kph").over(_along().rowsBetween(-2, 2))).withColumn("n", n)
+    low = F.min("v").over(_along().rowsBetween(-LOCAL_RADIUS_M, LOCAL_RADIUS_M))
+    lp, rp = F.max("v").over(_along().rowsBetween(-PROMINENCE_M, -1)), F.max("v").over(_along().rowsBetween(1, PROMINENCE_M))
     g = g.withColumn("low", low).withColumn("lp", lp).withColumn("rp", rp).withColumn(
-        "down_ok", F.col("v") >= F.lag("v").over(W) - ZONE_THRESHOLD_KPH).withColumn("up_ok", F.col("v") <= F.lead("v").over(W) + ZONE_THRESHOLD_KPH)
+        "down_ok", F.col("v") >= F.lag("v").over(_along()) - ZONE_THRESHOLD_KPH).withColumn("up_ok", F.col("v") <= F.lead("v").over(_along()) + ZONE_THRESHOLD_KPH)
     inner = (F.col("s_m") >= LOCAL_RADIUS_M) & (F.col("s_m") < F.col("n") - LOCAL_RADIUS_M)
     prominence = F.least(F.col("lp") - F.col("v"), F.col("rp") - F.col("v"))
     c = g.filter(inner & (F.col("v") <= F.col("low"))).withColumn("prominence", prominence).filter(
@@ -183,17 +183,6 @@ def detect_from_speed(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M)
     return separate_zones(z.withColumn("s_start_m", start).withColumn("s_end_m", end).select(*kept.columns))
 
 
-def _claim_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One track's corner–candidate pairs (a few per corner), claimed globally nearest first."""
-    corners, used, out = set(), set(), []
-    for r in pdf.sort_values(["gap", "corner_pos", "candidate"], kind="stable").itertuples(index=False):
-        if r.corner_pos not in corners and r.candidate not in used:
-            corners.add(r.corner_pos)
-            used.add(r.candidate)
-            out.append(r)
-    return pd.DataFrame(out, columns=pdf.columns)
-
-
 def match_corners(corners: DataFrame, candidates: DataFrame, preserved: Column | None = None) -> DataFrame:
     """Curated corners with the candidate each one claims, if any: nearest pairs first, one to one.
 
@@ -204,7 +193,17 @@ def match_corners(corners: DataFrame, candidates: DataFrame, preserved: Column |
     cand = candidates.select("track_id", "candidate", F.col("apex_m").cast("double").alias("cand_apex_m"))
     pairs = range_join(cand, near, ["track_id"], "cand_apex_m", "m_lo", "m_hi").select(
         "track_id", "corner_pos", "candidate", F.abs(F.col("cand_apex_m") - F.col("apex_s_m")).alias("gap"))
-    claimed = pairs.groupBy("track_id").applyInPandas(_claim_nearest, pairs.schema)
+    def claim_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One track's corner–candidate pairs (a few per corner), claimed globally nearest first."""
+        corners, used, out = set(), set(), []
+        for r in pdf.sort_values(["gap", "corner_pos", "candidate"], kind="stable").itertuples(index=False):
+            if r.corner_pos not in corners and r.candidate not in used:
+                corners.add(r.corner_pos)
+                used.add(r.candidate)
+                out.append(r)
+        return pd.DataFrame(out, columns=pdf.columns)
+
+    claimed = pairs.groupBy("track_id").applyInPandas(claim_nearest, pairs.schema)
     return corners.join(claimed, ["track_id", "corner_pos"], "left")
 
 
