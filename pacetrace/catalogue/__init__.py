@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("laps", "grid", "phases", "corners", "inputs", "debrief", "geometry")
+FAMILIES = ("laps", "grid", "phases", "corners", "inputs", "debrief", "geometry", "streaming")
 
 
 def load():
