@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 CHUNK_ROWS = 65536
 
 
@@ -41,6 +43,9 @@ def scan(
 
     ``prev``/``following``: value on the neighbouring row.  ``sums``/``maxima``: running, this row included.
     ``fill``: last non-null value up to this row.  ``fill_back``: next non-null value strictly after it.
+
+    ``df`` is read twice (once, pruned, for the chunk table).  Callers that nest scans write the rows in
+    between, so that the cost stays linear in the number of scans.
     """
     prev, following, sums = dict(prev or {}), dict(following or {}), dict(sums or {})
     maxima, fill, fill_back = dict(maxima or {}), dict(fill or {}), dict(fill_back or {})
@@ -220,6 +225,7 @@ def kth_values(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    vals = materialise(vals)  # read by every later step, computed once
     bounds = vals.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n"))
     span = F.col("__hi") - F.col("__lo")
     bucket = F.when(span <= 0, F.lit(0)).otherwise(

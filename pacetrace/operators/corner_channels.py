@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import CHUNK_ROWS, kth_values, scan
 from ..functions.ranges import range_join
+from ..functions.storage import materialise
 from .phases import corner_bounds
 from .segments import LAP
 
@@ -243,7 +244,10 @@ def corner_channels(
     """
     # Read-only peak of the wheels' recorded slip: the larger side counts.
     slip = F.greatest(F.abs(F.coalesce("slip_angle_rl_deg", F.lit(0.0))), F.abs(F.coalesce("slip_angle_rr_deg", F.lit(0.0))))
-    s = corner_samples(frames, windows)
+    used = [*LAP, "frame_id", "lap_distance_m", "gear", "brake_norm", "steering_norm", "tc_active", "abs_active",
+            "path_lateral_m", "slip_angle_rl_deg", "slip_angle_rr_deg"]
+    # Read by the aggregation and by the ordered steps: the range join runs once.
+    s = materialise(corner_samples(frames.select(*used), windows))
     zone = _in(*IN_ZONE)
     entry_ok = F.col("entry_m") < F.col("apex_m")
     brake_in = F.when(F.coalesce(entry_ok, F.lit(False)), _in("entry_m", "apex_m")).otherwise(zone)

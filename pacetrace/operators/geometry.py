@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import scan
 from ..functions.ranges import range_join
+from ..functions.storage import materialise
 from .grid import lookup
 from .segments import LAP
 
@@ -169,7 +170,7 @@ def resample_polyline(points: DataFrame, keys: Sequence[str], order: str, n: int
     keys = list(keys)
     p = scan(points.select(*keys, order, "x", "y"), keys, order, prev={"x0": "x", "y0": "y"}, chunk_rows=chunk_rows)
     p = p.withColumn("d", F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0)))
-    p = scan(p, keys, order, sums={"cum": "d"}, chunk_rows=chunk_rows)
+    p = materialise(scan(p, keys, order, sums={"cum": "d"}, chunk_rows=chunk_rows))
     total = p.groupBy(*keys).agg(F.max("cum").alias("total"))
     p = p.join(total, keys).withColumn("cum0", F.col("cum") - F.col("d"))
     step = F.col("total") / (n - 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import range_join
+from ..functions.storage import materialise
 from .segments import LAP
 
 # Fixed values of the detection.
@@ -144,7 +145,7 @@ def backfill(candidates: DataFrame, grid: DataFrame) -> DataFrame:
 
 def detect_from_pedals(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M) -> DataFrame:
     """Corners of each lap from its pedal traces on the metre grid."""
-    merged = merge_close(pedal_candidates(grid), grid, min_separation_m)
+    merged = materialise(merge_close(pedal_candidates(grid), grid, min_separation_m))
     return backfill(separate_zones(merged), grid)
 
 
@@ -161,7 +162,7 @@ def detect_from_speed(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M)
     c = g.filter(inner & (F.col("v") <= F.col("low"))).withColumn("prominence", prominence).filter(
         F.col("prominence") >= MIN_PROMINENCE_KPH).select(
         *LAP, F.col("s_m").alias("apex_m"), F.col("v").alias("min_speed"), "prominence", F.lit(0.0).alias("s_start_m"), F.lit(0.0).alias("s_end_m"))
-    kept = merge_close(c, None, min_separation_m)
+    kept = materialise(merge_close(c, None, min_separation_m))
     # Walk outwards from the apex while the speed rises; beyond the core the first fall ends the zone.
     last = g.groupBy(*LAP).agg((F.max("n") - 1).alias("last_m"))
     a = kept.join(last, LAP).withColumn("lo", F.greatest(F.lit(0), F.col("apex_m") - ZONE_HALF_WIDTH_M).cast("double")).withColumn(

@@ -52,13 +52,13 @@ def paired_grid(
 ) -> DataFrame:
     """Driver and reference channels side by side per metre, with the raw time difference.
 
-    The reference side is gridded from the reference laps' frames alone, so it stays small enough for Spark
-    to broadcast it and the driver grid keeps its partitioning by lap.  ``prepare`` adds per-lap columns.
+    The reference side is gridded from the reference laps' frames alone and written (a few thousand rows per
+    track), so Spark knows its size, broadcasts it when small, and the driver grid keeps its partitioning.  ``prepare`` adds per-lap columns.
     """
     driver = prepare(lap_grids(seg_frames, pairs, lap_length_m, channels)).join(
         pairs.select(*LAP, *REF, "track_id"), LAP
     )
-    refs = prepare(lap_grids(seg_frames, pairs.filter("is_reference"), lap_length_m, channels))
+    refs = materialise(prepare(lap_grids(seg_frames, pairs.filter("is_reference"), lap_length_m, channels)))
     names = [c for c in refs.columns if c not in LAP]
     refs = refs.select(F.col("session_id").alias(REF[0]), F.col("segment_index").alias(REF[1]), *names)
     return gr.delta_trace(driver, refs, REF)

@@ -132,12 +132,16 @@ def corner_exits(placed: DataFrame, cooldown_s: float = COOLDOWN_S, chunk_rows:
     """
     f = scan(placed, SOURCE, "frame_id", chunk_rows=chunk_rows, prev={
         "p_corner": "corner_id", "p_end": "corner_end_m", "p_lap": "lap_number"})
-    f = scan(f, SOURCE, "frame_id", chunk_rows=chunk_rows, sums={"completed": (F.col("lap_number") > F.col("p_lap")).cast("int")})
+    ahead = F.col("lap_number") > F.col("p_lap")
+    # Exits count from the first completed lap on: one frame number per source.
+    first_done = f.groupBy(*SOURCE).agg(F.min(F.when(ahead, F.col("frame_id"))).alias("first_done"))
+    f = f.join(first_done, SOURCE)
     same_lap = F.col("lap_number") == F.col("p_lap")
     left = F.col("corner_id").isNull() | ((F.col("corner_id") != F.col("p_corner")) & (F.col("lap_distance_m") >= F.col("p_end")))
-    c = f.filter((F.col("completed") >= 1) & same_lap & F.col("p_corner").isNotNull() & left).select(
+    c = f.filter((F.col("frame_id") >= F.col("first_done")) & same_lap & F.col("p_corner").isNotNull() & left).select(
         *SOURCE, "frame_id", "lap_number", "session_time_s", F.col("p_corner").alias("exited_corner"),
         F.when(F.col("corner_id").isNull(), F.col("lap_distance_m")).otherwise(F.col("p_end")).alias("exit_distance_m"))
+    c = materialise(c)  # a few rows per lap
     c = scan(c, SOURCE, "frame_id", chunk_rows=chunk_rows, prev={"p_time": "session_time_s"})
     fresh = F.coalesce(F.col("session_time_s") - F.col("p_time") >= cooldown_s, F.lit(True))
     c = scan(c, SOURCE, "frame_id", chunk_rows=chunk_rows, sums={"chain": fresh.cast("int")})
@@ -187,13 +191,13 @@ def estimated_distance(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
     f = scan(frames, SOURCE, "frame_id", chunk_rows=chunk_rows, prev={"p_raw": "raw_distance_m", "p_arrival": "arrival_s", "p_clock": "session_time_s"})
     dt = F.col("arrival_s") - F.col("p_arrival")
     tick = F.when(F.col("session_time_s") != F.col("p_clock"), F.col("arrival_s"))
-    f = scan(f, SOURCE, "frame_id", chunk_rows=chunk_rows, fill={"last_tick": tick})
+    f = scan(materialise(f), SOURCE, "frame_id", chunk_rows=chunk_rows, fill={"last_tick": tick})
     running = F.coalesce(F.col("arrival_s") - F.col("last_tick") < STALL_S, F.lit(False))
     anchor = F.col("p_arrival").isNull() | (dt <= 0) | (dt > MAX_STEP_S) | ~running | (F.col("raw_distance_m") != F.col("p_raw"))
     f = f.withColumn("is_anchor", anchor).withColumn("run_m", F.when(anchor, 0.0).otherwise(F.col("speed_mps") * dt))
     f = scan(f, SOURCE, "frame_id", chunk_rows=chunk_rows, sums={"total_m": "run_m"})
     mark = F.when(F.col("is_anchor"), F.struct(F.col("raw_distance_m").alias("raw"), F.col("total_m").alias("at")))
-    f = scan(f, SOURCE, "frame_id", chunk_rows=chunk_rows, fill={"anchor": mark})
+    f = scan(materialise(f), SOURCE, "frame_id", chunk_rows=chunk_rows, fill={"anchor": mark})
     return f.withColumn("estimated_m", F.col("anchor.raw") + F.col("total_m") - F.col("anchor.at")).drop(
         "p_raw", "p_arrival", "p_clock", "last_tick", "run_m", "total_m", "anchor")
 
