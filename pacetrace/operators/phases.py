@@ -82,12 +82,18 @@ def corner_events(paired: DataFrame, bounds: DataFrame) -> DataFrame:
     w = Window.partitionBy(*LAP).orderBy("s_m")
     ahead = [F.lead(c, k).over(w).alias(f"{c}{k}") for k in (1, 2) for c in ("speed_kph", "ref_speed_kph", "delta_ms")]
     n_cells = F.count(F.lit(1)).over(Window.partitionBy(*LAP)).cast("int")
-    used = ["track_id", "s_m", "speed_kph", "ref_speed_kph", "delta_ms", "ref_throttle_norm", "ref_brake_norm",
-            "lift", "full", "brake_on", "released_from", "ref_lift", "ref_full", "ref_released_from"]
-    grid = (
-        paired.select(*LAP, *used, *ahead, n_cells.alias("n"))
-        .withColumn("end_delta_ms", F.max(F.when(F.col("s_m") == F.col("n") - 2, F.col("delta_ms"))).over(Window.partitionBy(*LAP)))
-        .withColumn("s_x", F.col("s_m").cast("double"))
+    # The values at a metre and at the two after it travel as one column: the joined rows stay narrow enough
+    # for the compiled join to be optimised by the JVM.
+    point = F.struct(
+        "s_m", "speed_kph", "ref_speed_kph", "delta_ms",
+        *[f"{c}{k}" for k in (1, 2) for c in ("speed_kph", "ref_speed_kph", "delta_ms")],
+    )
+    flags = ["lift", "full", "brake_on", "released_from", "ref_lift", "ref_full", "ref_released_from"]
+    end_delta = F.max(F.when(F.col("s_m") == F.col("n") - 2, F.col("delta_ms"))).over(Window.partitionBy(*LAP))
+    pedals = F.col("ref_throttle_norm").isNotNull() | F.col("ref_brake_norm").isNotNull()
+    grid = paired.select("*", *ahead, n_cells.alias("n")).select(
+        *LAP, "track_id", F.col("s_m").cast("double").alias("s_x"), "n", end_delta.alias("end_delta_ms"), point.alias("pt"), *flags,
+        pedals.alias("ref_has_pedals"),
     )
     need = ["track_id", "corner_pos", "brake_from", "entry_from", "exit_ceiling_m", "c_start", "c_apex", "c_end"]
     window = bounds.select(*need).withColumn("w_lo", F.col("brake_from").cast("double")).withColumn(
@@ -95,11 +101,8 @@ def corner_events(paired: DataFrame, bounds: DataFrame) -> DataFrame:
     )
     cells = range_join(grid, window, ["track_id"], "s_x", "w_lo", "w_hi")
 
-    s, n = F.col("s_m"), F.col("n")
-    point = F.struct(
-        s, F.col("speed_kph"), F.col("ref_speed_kph"), F.col("delta_ms"),
-        *[F.col(f"{c}{k}") for k in (1, 2) for c in ("speed_kph", "ref_speed_kph", "delta_ms")],
-    )
+    point, n = F.col("pt"), F.col("n")
+    s, speed, ref_speed, delta = (point[c] for c in ("s_m", "speed_kph", "ref_speed_kph", "delta_ms"))
     apex_in = F.least(F.col("c_apex"), n - 1)
     exit_to = F.least(F.col("c_end") + EXIT_PAST_END_M, n - 1, F.coalesce(F.col("exit_ceiling_m").cast("int"), n - 1))
     in_entry = s.between(F.col("entry_from"), apex_in)
@@ -117,21 +120,21 @@ def corner_events(paired: DataFrame, bounds: DataFrame) -> DataFrame:
         F.max("n").alias("n"),
         F.max("end_delta_ms").alias("end_delta_ms"),
         first(F.col("lift") & after_entry).alias("lift_p"),
-        F.max(F.when(in_entry, F.struct(F.col("speed_kph"), (-s).alias("neg"), point.alias("p")))).alias("peak_p"),
+        F.max(F.when(in_entry, F.struct(speed.alias("v"), (-s).alias("neg"), point.alias("p")))).alias("peak_p"),
         at(F.greatest("entry_from", "c_start")).alias("zone_p"),
         first(F.col("brake_on") & (s - 1 >= F.col("brake_from")) & (s <= apex_in), s).alias("brake_point_m"),
         first((F.col("released_from") >= F.col("c_apex")) & in_exit).alias("exit_brake_p"),
         first(F.col("full") & (s - 1 >= F.col("c_apex")) & in_exit).alias("exit_throttle_p"),
         at(F.least(F.col("c_end"), exit_to)).alias("exit_zone_p"),
         F.max(F.least(F.col("c_end"), exit_to)).alias("exit_zone_m"),
-        F.min(F.when(in_zone, F.struct(F.col("speed_kph"), s, F.col("delta_ms")))).alias("min_p"),
-        F.min(F.when(in_zone, F.struct(F.col("ref_speed_kph"), s))).alias("ref_min_p"),
-        F.max(F.when(s == F.col("c_apex"), F.col("delta_ms"))).alias("apex_delta_ms"),
+        F.min(F.when(in_zone, F.struct(speed.alias("speed_kph"), s.alias("s_m"), delta.alias("delta_ms")))).alias("min_p"),
+        F.min(F.when(in_zone, F.struct(ref_speed.alias("ref_speed_kph"), s.alias("s_m")))).alias("ref_min_p"),
+        F.max(F.when(s == F.col("c_apex"), delta)).alias("apex_delta_ms"),
         first(F.col("ref_lift") & after_entry, s).alias("ref_lift_m"),
-        _first_max(F.col("ref_speed_kph"), s, in_entry).alias("ref_peak"),
+        _first_max(ref_speed, s, in_entry).alias("ref_peak"),
         first((F.col("ref_released_from") >= F.col("c_apex")) & in_exit, s).alias("ref_exit_brake_m"),
         first(F.col("ref_full") & (s - 1 >= F.col("c_apex")) & in_exit, s).alias("ref_exit_throttle_m"),
-        F.max(F.col("ref_throttle_norm").isNotNull() | F.col("ref_brake_norm").isNotNull()).alias("ref_pedals"),
+        F.max("ref_has_pedals").alias("ref_pedals"),
     ]
     e = cells.groupBy(*LAP, "track_id", "corner_pos").agg(*agg).join(bounds, ["track_id", "corner_pos"])
 
