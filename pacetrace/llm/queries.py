@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.storage import scratch_dir
+from . import binary_ids, packing, warc
+from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
+from .token_counts import token_counts
+from .top_k import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +34,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for files that a query writes and reads back."""
+    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.v) = len(v.v))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 5"""
+)
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, strlen(h) AS n, min(page_id) AS o FROM p GROUP BY ALL)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(p.x, (i // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to
+FROM p JOIN f ON f.x = p.x AND f.n = strlen(h)"""
+)
+def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), where)
+    return warc.read_archives(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op6_binary_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = folder(spark, "ids")
+    binary_ids.write_ids(table(spark, sf_dir, "documents"), where, BYTE_BPE, end_id=2)
+    docs = binary_ids.read_ids(spark, where).select("doc_id", "part", "file", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    starts = binary_ids.file_starts(spark, where)
+    return docs.join(starts, ["part", "file"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+@query()
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.placements(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=1)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE {_USABLE}
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+w AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9e0),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT x AS vec_id, coalesce(any_value(k.n), 0)::BIGINT AS n_links, min(y) AS component_id, min(y) = x AS kept
+FROM r LEFT JOIN k ON k.a = x GROUP BY x"""
+)
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
