@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import scratch_dir
-from . import binary_ids, packing, warc
+from . import binary_ids, mixing, packing, passages, quality, warc
 from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
 from .token_counts import token_counts
@@ -38,6 +38,22 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Score from which the quality classifier keeps a document.
+QUALITY_FROM = 0.3
+
+#: The tree of sources: domain, then language, then source.
+DOMAIN = "CASE WHEN source = 'src0' THEN 'web' WHEN right(source, 1) IN ('0', '2', '4', '6', '8') THEN 'books' ELSE 'reference' END"
+WORDS = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
+WEIGHTS = ({"web": 5, "books": 3, "reference": 2}, {"en": 6, "de": 2, "fr": 2, "es": 1, "*": 1}, {"*": 1})
+SHARE, EPOCHS, SEED = 0.5, 2, 17
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents by the tree above: half of all words, no leaf more than twice."""
+    levels = [F.expr(DOMAIN), F.col("lang"), F.col("source")]
+    return mixing.mix(docs, levels, WEIGHTS, F.expr(WORDS), SHARE, EPOCHS, SEED)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for files that a query writes and reads back."""
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -65,6 +81,20 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+@query()
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 @query(
     """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 f AS (SELECT x, strlen(h) AS n, min(page_id) AS o FROM p GROUP BY ALL)
@@ -123,3 +153,43 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id, min(r.y) = n.doc_i
 )
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _shares(level: int, table_: str) -> str:
+    """SQL of one level of the tree: the budget ``b`` of each parent over its children."""
+    keys = [f"l{i}" for i in range(1, level + 1)]
+    up, own, w = keys[:-1], keys[-1], WEIGHTS[level - 1]
+    weight = f"CASE {own} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w.items() if k != "*") + f" ELSE {w.get('*', 0)} END" if len(w) > 1 else "1"
+    part = f"PARTITION BY {', '.join(up)} " if up else ""
+    budget = f"JOIN {table_} USING ({', '.join(up)})" if up else f"CROSS JOIN {table_}"
+    return f"""SELECT {', '.join(keys)}, CASE WHEN full_ THEN cap WHEN w = 0 THEN 0 ELSE (b - coalesce(sum(cap) FILTER (full_) OVER ({part}), 0)) * w //
+    sum(w) FILTER (NOT full_) OVER ({part}) END AS b
+  FROM (SELECT *, w > 0 AND cap * (sum(w) OVER ({part}ORDER BY cap / w, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+      <= (b - coalesce(sum(cap) OVER ({part}ORDER BY cap / w, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS full_
+    FROM (SELECT {', '.join(keys)}, b::HUGEINT AS b, cap, {weight} AS w FROM (SELECT {', '.join(keys)}, sum(size * {EPOCHS})::HUGEINT AS cap FROM leaf GROUP BY ALL) {budget}))"""
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, lang, source, {DOMAIN} AS l1, coalesce(lang, '') AS l2, coalesce(source, '') AS l3,
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n FROM documents),
+leaf AS (SELECT l1, l2, l3, sum(n)::HUGEINT AS size FROM d GROUP BY ALL),
+b0 AS (SELECT floor(sum(size) * {SHARE})::HUGEINT AS b FROM leaf),
+b1 AS ({_shares(1, "b0")}), b2 AS ({_shares(2, "b1")}), b3 AS ({_shares(3, "b2")}),
+p AS (SELECT d.*, CASE WHEN size > 0 THEN b // size ELSE 0 END AS full_, CASE WHEN size > 0 THEN b % size ELSE 0 END AS rest
+  FROM d JOIN leaf USING (l1, l2, l3) JOIN b3 USING (l1, l2, l3)),
+o AS (SELECT *, sum(n) OVER (PARTITION BY l1, l2, l3 ORDER BY md5('{SEED}:' || full_ || ':' || coalesce(doc_id::VARCHAR, 'null')), doc_id, n
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM p)
+SELECT doc_id, lang, source, e::INTEGER AS epoch, n AS n_tokens FROM (SELECT *, unnest(range(full_::BIGINT)) AS e FROM p)
+UNION ALL SELECT doc_id, lang, source, full_::INTEGER AS epoch, n AS n_tokens FROM o WHERE rest > 0 AND s <= rest"""
+)
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "epoch", "n_tokens")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+LONG_BYTES = 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +85,15 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a run of texts, and the offset of each text in that list."""
+    if len(off) == 2 and len(data) > LONG_BYTES:  # a very long text, piece by piece
+        parts, at = [], 0
+        while at < len(data):
+            end = at + LONG_BYTES // 2
+            while end < len(data) and not _IS_SPACE[data[end]]:
+                end += 1
+            parts.append(word_hashes(data[at:end], np.array([0, len(data[at:end])]))[0])
+            at = end
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     start, length, texts = word_bounds(data, off)
     if not len(start):
         return np.zeros(0, U64), texts
