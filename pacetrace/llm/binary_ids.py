@@ -33,7 +33,7 @@ FILE_IDS = 4 << 20
 BLOCK_IDS = 1 << 20
 
 
-def _file(part: int, number: int, names: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def _file(part: int, number: int, names: list[int | None], counts: list[int], ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     seen = np.bincount(ids, minlength=1)
     freq = shared_table(seen)
     table = decoding_tables(freq)
@@ -41,8 +41,8 @@ def _file(part: int, number: int, names: list[int | None], counts: list[int], id
         np.array([0 if n is None else n for n in names], "<i8").tobytes() + np.array([n is None for n in names], np.uint8).tobytes() + np.array(counts, "<u8").tobytes()
     )
     packed_freq, blocks, index, at = zlib.compress(freq.astype("<u4").tobytes()), [], [], 0
-    for a in range(0, len(ids), BLOCK_IDS):
-        own = ids[a : a + BLOCK_IDS]
+    for a in range(0, len(ids), block_ids):
+        own = ids[a : a + block_ids]
         data = encode_block(own.astype(np.int64), table[0], table[1])
         index.append([at, len(data), len(own), zlib.crc32(own.astype("<u4").tobytes())])
         blocks.append(data)
@@ -76,10 +76,13 @@ def _content(data: memoryview) -> tuple[dict, list[int | None], np.ndarray, np.n
     return head, [None if z else v for v, z in zip(names.tolist(), none.tolist())], counts.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> None:
+def write_ids(
+    docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2,
+    file_ids: int = FILE_IDS, block_ids: int = BLOCK_IDS,
+) -> None:
     """Encode whole texts with the tokenizer file ``path`` and write them to ``folder`` in ascending ``id_col``.
 
-    ``end_id`` follows each document.  Texts are dealt out by ranges of the id; a task closes a file at about ``FILE_IDS``
+    ``end_id`` follows each document.  Texts are dealt out by ranges of the id; a task closes a file at about ``file_ids``
     ids, so memory does not grow with its share.  A null or empty text has the end id only; null ids come first; rows
     that repeat an id are kept, in any order among themselves; extra columns are not written.
     """
@@ -94,7 +97,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", t
         held = 0
 
         def close() -> pa.RecordBatch:
-            image = _file(part, number, names, counts, np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))
+            image = _file(part, number, names, counts, np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), block_ids)
             return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], names=["image"])
 
         for b in batches:
@@ -106,9 +109,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", t
                     counts.append(len(own))
                     pieces.append(own)
                     held += len(own)
-                if held >= FILE_IDS:
-                    yield close()
-                    names, counts, pieces, held, number = [], [], [], 0, number + 1
+                    if held >= file_ids:
+                        yield close()
+                        names, counts, pieces, held, number = [], [], [], 0, number + 1
         if names:
             yield close()
 

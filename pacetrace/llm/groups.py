@@ -8,6 +8,14 @@ import numpy as np
 import pyarrow as pa
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """One table per run of equal non-null integer ``keys``; holds one batch and the run at hand."""
     held: list[pa.RecordBatch] = []

@@ -73,14 +73,14 @@ def mix(
     """
     names = [f"__l{i}" for i in range(len(levels))]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    order = lambda e: F.md5(F.concat(F.lit(f"{seed}:"), e.cast("string"), F.lit(":"), key))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col("id")))
+    # The document itself travels as one struct, so that no name of its columns can clash with those used here.
     base = docs.select(
-        *(docs[c] for c in docs.columns if c not in ("epoch", "n_tokens")), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"),
-        *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)),
+        F.struct(*(docs[c] for c in docs.columns if c not in ("epoch", "n_tokens"))).alias("row"), key.alias("id"),
+        F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)),
     )
-    every = base.select(*names, "n_tokens", key.alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col("__k")))
-    sums = materialise(every.groupBy(*names, "epoch", F.substring(h, 1, PREFIX).alias("bucket")).agg(F.sum("n_tokens").alias("n")))
+    every = base.select(*names, "n_tokens", "id", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    sums = materialise(every.groupBy(*names, "epoch", F.substring(order, 1, PREFIX).alias("bucket")).agg(F.sum("n_tokens").alias("n")))
     leaves = sums.filter("epoch = 0").groupBy(*names).agg(F.sum("n").alias("n"))
     if leaves.limit(MAX_LEAVES + 1).count() > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves: name the levels more coarsely")
@@ -99,10 +99,11 @@ def mix(
 
     planned = base.join(F.broadcast(plan), names)
     whole = planned.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    part = planned.filter("rest > 0").withColumn("epoch", F.col("full")).withColumn("__h", order(F.col("full")))
-    at = F.substring("__h", 1, PREFIX)
-    inside = Window.partitionBy(*names, "bucket").orderBy("__h", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = planned.filter("rest > 0").withColumn("epoch", F.col("full")).withColumn("order", order)
+    at = F.substring("order", 1, PREFIX)
+    number = F.col("row").getField(id_col)
+    inside = Window.partitionBy(*names, "bucket").orderBy("order", number, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = part.filter(F.col("bucket").isNull() | (at < F.col("bucket")))
-    border = part.filter(at == F.col("bucket")).withColumn("__s", F.sum("n_tokens").over(inside)).filter(F.col("__s") <= F.col("left"))
-    keep = [*(c for c in docs.columns if c not in ("epoch", "n_tokens")), "epoch", "n_tokens"]
+    border = part.filter(at == F.col("bucket")).withColumn("sum", F.sum("n_tokens").over(inside)).filter(F.col("sum") <= F.col("left"))
+    keep = ["row.*", "epoch", "n_tokens"]
     return whole.select(keep).unionByName(before.select(keep)).unionByName(border.select(keep))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .groups import free_name
 from .textops import chunks, utf8, word_bounds, word_hashes
 
 PASSAGE_WORDS = 48
@@ -188,4 +189,4 @@ def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", into:
                 out[row:end] = model.forward(*passage_features(part, part_off))["score"]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out)], names=schema.names)
 
-    return docs.select(*(docs[c] for c in kept), F.col(text_col).cast("string").alias("__t")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in kept), F.col(text_col).cast("string").alias(free_name(kept, "whole text"))).mapInArrow(run, schema)

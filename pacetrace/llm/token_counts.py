@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .groups import free_name
 from .pretokens import KEY_BYTES, WordTable, distinct, encoder, word_keys
 from .textops import chunks, utf8
 
@@ -106,4 +107,4 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", into: str =
                     out[row + i] = len(enc.whole(part[part_off[i] : part_off[i + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(out)], names=schema.names)
 
-    return docs.select(*(docs[c] for c in kept), F.col(text_col).cast("string").alias("__t")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in kept), F.col(text_col).cast("string").alias(free_name(kept, "whole text"))).mapInArrow(run, schema)
