@@ -39,12 +39,12 @@ cte(
     "c_frames",
     """SELECT event_type AS session_id, event_id AS frame_id, us/864e6 AS session_time_s,
   CAST(CASE WHEN day <= 15 THEN day-1 ELSE day-16 END AS INT) AS lap_number,
-  od/864e6 AS lap_time_s, od/864e6*4e1 AS lap_distance_m, od/864e6*4e1 AS raw_lap_distance_m,
+  od/864e6 AS lap_time_s, d AS lap_distance_m, d AS raw_lap_distance_m,
   CASE WHEN j % 5 = 0 AND od BETWEEN 43200000000 AND 45792000000 THEN 0e0 ELSE 8e1 + least(value, 2e2) END AS speed_kph,
   k/1e2 AS throttle_norm, greatest(0, 40-k)/4e1 AS brake_norm, k % 8 AS gear, k*1e2 AS engine_rpm,
   ((event_id % 201)-100)/1e2 AS steering_norm, 1e2 - (day-1)*3e0 - od/864e8*3e0 AS fuel_l, 1.1e2 AS fuel_capacity_l,
   ((event_id*7) % 101 - 50)/1e1 AS path_lateral_m, 6e0 + event_id % 5 AS track_edge_m,
-  round(5e2*cos(2*pi()*(od/864e6*4e1)/4e3), 6) AS pos_x_m, round(5e2*sin(2*pi()*(od/864e6*4e1)/4e3), 6) AS pos_z_m,
+  round(5e2*cos(2*pi()*d/4e3), 6) AS pos_x_m, round(5e2*sin(2*pi()*d/4e3), 6) AS pos_z_m,
   j % 7 <> 0 AS lap_valid,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 3e1 + day % 5 END AS last_sector_1_s,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 6.5e1 + day % 7 END AS last_sector_2_s,
@@ -58,7 +58,7 @@ cte(
   CAST(event_id % 4 AS INT) AS surface_type_fl, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 3 AS INT) END AS surface_type_fr,
   CAST(event_id % 4 AS INT) AS surface_type_rl, CAST(event_id % 2 AS INT) AS surface_type_rr,
   CAST((length(event_type)*3) % 14 AS INT) AS session_type, 20 AS race_laps_total
-FROM c_raw WHERE NOT (j % 11 = 0 AND od > 72576000000)""",
+FROM (SELECT *, od/864e6*4e1*CASE WHEN j % 11 = 0 THEN 7e-1 ELSE 1e0 END AS d FROM c_raw)""",
 )
 cte(
     "c_chg",

@@ -74,11 +74,11 @@ def _(spark, sf):
     return geo.infer_one_sided(profile(spark, sf))
 
 
-cte("c_path", "SELECT floor(raw_lap_distance_m/5e0)*5e0 AS s_m, avg(pos_x_m) AS x_m, avg(pos_z_m) AS z_m, count(*) AS samples FROM c_frames WHERE floor(raw_lap_distance_m/5e0) % 60 <> 7 GROUP BY ALL")
+cte("c_path", "SELECT floor(raw_lap_distance_m/5e0)*5e0 AS s_m, avg(pos_x_m) AS x_m, avg(pos_z_m) AS z_m, count(*) AS samples FROM c_frames GROUP BY ALL")
 
 
 def path(spark, sf):
-    f = base.frames(spark, sf).withColumn("track_id", F.lit(TRACK_ID)).filter(F.floor(F.col("raw_lap_distance_m") / 5e0) % 60 != 7)
+    f = base.frames(spark, sf).withColumn("track_id", F.lit(TRACK_ID))
     return geo.centre_path(f, BIN_M)
 
 
@@ -90,11 +90,13 @@ def _(spark, sf):
 cte("c_bnd", """SELECT p.*, w.lw, w.rw, w.s_m IS NOT NULL AS matched, x_m + nx*lw AS left_x, z_m + nz*lw AS left_z, x_m - nx*rw AS right_x, z_m - nz*rw AS right_z FROM (
   SELECT *, CASE WHEN sqrt(dx*dx + dz*dz) >= 1e-12 THEN -dz/sqrt(dx*dx + dz*dz) ELSE 0e0 END AS nx, CASE WHEN sqrt(dx*dx + dz*dz) >= 1e-12 THEN dx/sqrt(dx*dx + dz*dz) ELSE 0e0 END AS nz FROM (
   SELECT *, coalesce(lead(x_m) OVER w, x_m) - coalesce(lag(x_m) OVER w, x_m) AS dx, coalesce(lead(z_m) OVER w, z_m) - coalesce(lag(z_m) OVER w, z_m) AS dz FROM c_path WINDOW w AS (ORDER BY s_m))) p
-  LEFT JOIN (SELECT s_m, CASE WHEN inferred_side = 'left' THEN inferred_width_m ELSE left_width_m END AS lw, CASE WHEN inferred_side = 'right' THEN inferred_width_m ELSE right_width_m END AS rw FROM c_inf WHERE s_m % 35 <> 0) w ON w.s_m = p.s_m""")
+  LEFT JOIN (SELECT s_m, CASE WHEN inferred_side = 'left' THEN inferred_width_m ELSE left_width_m END AS lw, CASE WHEN inferred_side = 'right' THEN inferred_width_m ELSE right_width_m END AS rw FROM c_inf) w ON w.s_m + CASE WHEN w.s_m % 35 = 0 THEN 2.5e-1 ELSE 0e0 END = p.s_m""")
 
 
 def edges(spark, sf):
-    p = geo.infer_one_sided(profile(spark, sf)).filter(F.col("s_m") % 35 != 0)
+    p = geo.infer_one_sided(profile(spark, sf))
+    # Some bins stand between the path's points and match none of them.
+    p = p.withColumn("s_m", F.col("s_m") + F.when(F.col("s_m") % 35 == 0, 2.5e-1).otherwise(0e0))
     width = lambda s: F.when(F.col("inferred_side") == s, F.col("inferred_width_m")).otherwise(F.col(f"{s}_width_m"))
     return geo.boundaries(path(spark, sf), p.select("track_id", "s_m", "inferred_side", "inferred_width_m", "left_width_m", "right_width_m"), width("left"), width("right"))
 
@@ -122,33 +124,32 @@ POLY = """WITH p AS (SELECT {k}, lap_distance_m, pos_x_m AS x, pos_z_m AS y, lag
   c AS (SELECT *, coalesce(sqrt((x - x0)*(x - x0) + (y - y0)*(y - y0)), 0e0) AS d FROM p),
   u AS (SELECT *, sum(d) OVER (PARTITION BY {k} ORDER BY lap_distance_m) AS cum FROM c), t AS (SELECT *, max(cum) OVER (PARTITION BY {k}) AS total, cum - d AS cum0 FROM u),
   e AS (SELECT {k}, 0 AS i, x, y FROM t WHERE x0 IS NULL UNION ALL SELECT {k}, i::INT, x0 + (i/({n} - 1)*total - cum0)/d*(x - x0), y0 + (i/({n} - 1)*total - cum0)/d*(y - y0) FROM (
-    SELECT *, unnest(generate_series(greatest(1, floor(cum0/(total/({n} - 1))))::BIGINT, least({n} - 1, ceil(cum/(total/({n} - 1))))::BIGINT)) AS i FROM t WHERE x0 IS NOT NULL AND d > 0)
-    WHERE i/({n} - 1)*total > cum0 AND i/({n} - 1)*total <= cum)"""
+    SELECT *, unnest(generate_series(greatest(1, floor(cum0/(total/({n} - 1))))::BIGINT, least({n} - 2, ceil(cum/(total/({n} - 1))))::BIGINT)) AS i FROM t WHERE x0 IS NOT NULL AND d > 0)
+    WHERE i/({n} - 1)*total > cum0 AND i/({n} - 1)*total <= cum
+    UNION ALL SELECT {k}, {n} - 1, arg_max(x, lap_distance_m), arg_max(y, lap_distance_m) FROM t GROUP BY {k} HAVING max(total) > 0)"""
 
 
-@query("polyline_resample", "T7", K + "i ~x ~y", POLY.format(k="session_id, segment_index", src="c_seg", n=50) + " SELECT * FROM e WHERE i < 49")
+@query("polyline_resample", "T7", K + "i ~x ~y", POLY.format(k="session_id, segment_index", src="c_seg", n=50) + " SELECT * FROM e")
 def _(spark, sf):
-    p = base.seg_frames(spark, sf).select(*gr.LAP, "lap_distance_m", F.col("pos_x_m").alias("x"), F.col("pos_z_m").alias("y"))
-    # The last point sits on the running total, where both engines may differ in the last bit.
-    return geo.resample_polyline(p, gr.LAP, "lap_distance_m", 50, 1000).filter("i < 49")
+    p = base.seg_frames(spark, sf).select(*gr.LAP, "frame_id", F.col("pos_x_m").alias("x"), F.col("pos_z_m").alias("y"))
+    return geo.resample_polyline(p, gr.LAP, "frame_id", 50, 1000)
 
 
 def _outline_inputs(spark, sf):
     f = base.seg_frames(spark, sf).withColumn("track_id", F.lit(TRACK_ID))
     laps = f.groupBy("track_id", *gr.LAP, "lap_number").agg(F.max("lap_time_s").alias("lap_time_s"), F.count(F.lit(1)).alias("n")).filter(
         f"lap_number >= 1 AND lap_time_s >= 60 AND n >= {base.MIN_ROWS}")
-    return f.select(*gr.LAP, "lap_distance_m", F.col("pos_x_m").alias("x"), F.col("pos_z_m").alias("y")), laps
+    return f.select(*gr.LAP, "frame_id", F.col("pos_x_m").alias("x"), F.col("pos_z_m").alias("y")), laps
 
 
 cte("c_five", """SELECT session_id, segment_index FROM (SELECT session_id, segment_index, max(lap_time_s) AS t FROM c_seg GROUP BY ALL HAVING min(lap_number) >= 1 AND max(lap_time_s) >= 60 AND count(*) >= 20) ORDER BY t, session_id, segment_index LIMIT 5""")
 cte("c_fivep", "SELECT * FROM c_seg JOIN c_five USING (session_id, segment_index)")
-cte("c_ring", POLY.format(k="session_id, segment_index", src="c_fivep", n=100) + " SELECT i, median(x) AS x, median(y) AS y, count(*) AS laps FROM e WHERE i < 99 GROUP BY i HAVING count(*) >= 2")
+cte("c_ring", POLY.format(k="session_id, segment_index", src="c_fivep", n=100) + " SELECT i, median(x) AS x, median(y) AS y, count(*) AS laps FROM e GROUP BY i HAVING count(*) >= 2")
 
 
 def ring(spark, sf):
     pts, laps = _outline_inputs(spark, sf)
-    # The closing point repeats the start of a closed lap, so the ring goes without it.
-    return geo.median_outline(pts, laps, ["track_id"], n=100).filter("i < 99")
+    return geo.median_outline(pts, laps, ["track_id"], n=100)
 
 
 @query("median_outline", "T8", "i ~x ~y laps", "SELECT * FROM c_ring")
@@ -245,10 +246,10 @@ def _(spark, sf):
 def recorded(spark, sf):
     """A recorded map: the ring turned by a quarter lap, mirrored in y."""
     r = ring(spark, sf)
-    return r, r.select("track_id", F.pmod(F.col("i") + 30, F.lit(99)).alias("i"), (F.col("x") + 0.3).alias("x"), (-F.col("y")).alias("y"), (F.pmod(F.col("i") + 30, F.lit(99)) * 4e1).alias("distance_m"))
+    return r, r.select("track_id", F.pmod(F.col("i") + 30, F.lit(100)).alias("i"), (F.col("x") + 0.3).alias("x"), (-F.col("y")).alias("y"), (F.pmod(F.col("i") + 30, F.lit(100)) * 4e1).alias("distance_m"))
 
 
-cte("c_rec", "SELECT (i + 30) % 99 AS i, x + 0.3e0 AS x, -y AS y, ((i + 30) % 99)*4e1 AS distance_m FROM c_ring")
+cte("c_rec", "SELECT (i + 30) % 100 AS i, x + 0.3e0 AS x, -y AS y, ((i + 30) % 100)*4e1 AS distance_m FROM c_ring")
 cte("c_align", """SELECT arg_min(r.i, (sqrt(pow(r.x - s.x, 2) + pow(r.y + s.y, 2)), r.i)) AS shift, count(*) AS points, min(sqrt(pow(r.x - s.x, 2) + pow(r.y + s.y, 2))) AS start_offset_m, max(distance_m) AS len,
   arg_min(distance_m, (sqrt(pow(r.x - s.x, 2) + pow(r.y + s.y, 2)), r.i)) - arg_min(distance_m, r.i) AS along FROM c_rec r, (SELECT * FROM c_ring WHERE i = 0) s""")
 

@@ -96,7 +96,7 @@ def reference_files(spark, sf):
         name.alias("name"), sc.track_slug(F.col("n_name")).alias("track_slug"), car.alias("car_id"),
         ss.reference_time(name).alias("reference_s"),
         F.when(F.col("s_suppkey") % 11 == 0, F.col("s_suppkey") + 5e-1).cast("double").alias("authoritative_s"),
-        F.lit(9e1).alias("derived_s"))
+        F.lit(9e1).alias("derived_s"), F.col("s_suppkey").alias("number"))
 
 
 cte("c_reff", f"""SELECT *, (1 + s_suppkey % 2)*60 + s_suppkey % 60 + (CAST(abs(s_acctbal)*100 AS BIGINT) % 1000)/1e3 AS reference_s,
@@ -151,7 +151,9 @@ def _(spark, sf):
 def catalogue(spark, sf):
     """Vehicle catalogue document written from the suppliers and read back."""
     out = f"{scratch_dir(spark).rstrip('/')}/vehicles-{uuid.uuid4().hex}"
-    s = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey % 10 <> 3")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    # Some cars are listed under a name that no session uses.
+    s = s.withColumn("s_name", F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 3, F.lit(" b")).otherwise(F.lit(""))))
     entry = F.concat(
         F.to_json(F.struct(F.when(F.col("s_suppkey") % 17 == 0, F.concat(F.lit("_"), F.col("s_name"))).otherwise(F.col("s_name")).alias("k"))),
         F.lit("\u0001"), F.to_json(F.struct(F.lit("b").alias("brand"), F.lit("m").alias("model"), F.lit("gt").alias("car_class"),
@@ -167,7 +169,8 @@ def catalogue(spark, sf):
         "vehicle_name", "e.brand", "e.model", "e.car_class", F.col("e.slug").alias("canonical"))
 
 
-cte("c_cat", "SELECT s_name AS vehicle_name, 'car-' || (s_nationkey % 10) AS canonical, lower(replace(s_name, '#', '')) AS car_slug FROM supplier WHERE s_suppkey % 10 <> 3 AND s_suppkey % 17 <> 0")
+cte("c_cat", """SELECT vehicle_name, canonical, replace(lower(replace(vehicle_name, '#', '')), ' ', '-') AS car_slug FROM (SELECT s_name || CASE WHEN s_suppkey % 10 = 3 THEN ' b' ELSE '' END AS vehicle_name,
+  'car-' || (s_nationkey % 10) AS canonical FROM supplier WHERE s_suppkey % 17 <> 0)""")
 
 
 @query("vehicle_catalogue", "S6", "vehicle_name car_slug canonical", "SELECT * FROM c_cat")
@@ -405,30 +408,26 @@ def _(spark, sf):
 
 cte("c_model", """SELECT session_id, name AS model_name FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pr, name) AS r FROM (
   SELECT w.session_id, f.name, CASE WHEN w.vehicle_name IS NULL THEN 0 WHEN f.car_id <> '' AND f.car_id = w.vehicle_slug THEN 0 WHEN f.car_id <> '' AND fc.canonical = w.canonical THEN 1
-    WHEN f.car_id = '' THEN 2 END AS pr FROM c_want2 w JOIN (SELECT * FROM c_reff WHERE s_suppkey % 3 <> 1) f USING (track_slug) LEFT JOIN c_cat fc ON fc.car_slug = f.car_id) WHERE pr IS NOT NULL) WHERE r = 1""")
+    WHEN f.car_id = '' THEN 2 END AS pr FROM c_want2 w JOIN (SELECT * REPLACE (CASE WHEN s_suppkey % 3 = 1 THEN 'old-' ELSE '' END || track_slug AS track_slug) FROM c_reff) f USING (track_slug) LEFT JOIN c_cat fc ON fc.car_slug = f.car_id) WHERE pr IS NOT NULL) WHERE r = 1""")
 
 
 
-def _kept_models(spark, sf):
-    s = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey % 3 <> 1").select(sc.vehicle_slug(F.col("s_name")).alias("own"), (F.col("s_suppkey") % 5 == 0).alias("gen"), "s_nationkey", "s_suppkey", "s_acctbal")
-    names = reference_files(spark, sf)
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    keep = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.concat(sc.track_slug(F.col("n_name")), F.when(F.col("gen"), F.lit("")).otherwise(F.concat(F.lit("_"), F.col("own"))),
-                 F.format_string("_time_%02d.%02d.%03d.parquet", 1 + F.col("s_suppkey") % 2, F.col("s_suppkey") % 60, F.round(F.abs("s_acctbal") * 100).cast("long") % 1000)).alias("name"))
-    return names.join(keep, "name", "left_semi").select("track_slug", "car_id", "name")
+def _models(spark, sf):
+    """Model files named like the reference laps; some belong to tracks that no session drives."""
+    f = reference_files(spark, sf)
+    return f.select(F.concat(F.when(F.col("number") % 3 == 1, F.lit("old-")).otherwise(F.lit("")), "track_slug").alias("track_slug"), "car_id", "name")
 
 
 @query("track_model_resolution", "J4", "session_id model_name", "SELECT session_id, model_name FROM c_want LEFT JOIN c_model USING (session_id)")
 def _(spark, sf):
-    return rs.resolve_track_model(wanted(spark, sf), _kept_models(spark, sf), cars(spark, sf))
+    return rs.resolve_track_model(wanted(spark, sf), _models(spark, sf), cars(spark, sf))
 
 
 @query("debrief_inputs", "J5", "session_id status reference_name model_name ~reference_s",
        """SELECT session_id, reference_name, model_name, coalesce(authoritative_s, reference_s) AS reference_s, CASE WHEN reference_name IS NULL THEN 'no reference lap' WHEN model_name IS NULL THEN 'no coaching model' ELSE 'ok' END AS status
        FROM c_want LEFT JOIN c_res USING (session_id) LEFT JOIN c_model USING (session_id)""")
 def _(spark, sf):
-    return rs.debrief_inputs(wanted(spark, sf), reference_files(spark, sf), _kept_models(spark, sf), cars(spark, sf))
+    return rs.debrief_inputs(wanted(spark, sf), reference_files(spark, sf), _models(spark, sf), cars(spark, sf))
 
 
 def _wrapped(spark, sf):

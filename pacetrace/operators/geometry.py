@@ -166,7 +166,10 @@ def smooth_boundary(points: DataFrame, width: str, cols: Sequence[str], window:
 
 
 def resample_polyline(points: DataFrame, keys: Sequence[str], order: str, n: int, chunk_rows: int = 65536) -> DataFrame:
-    """``n`` points at equal arc length along each polyline (columns x, y); a polyline of no length gives its first point."""
+    """``n`` points at equal arc length along each polyline (columns x, y); a polyline of no length gives its first point.
+
+    ``order`` numbers the rows, so that a chunk holds ``chunk_rows`` of them.
+    """
     keys = list(keys)
     p = scan(points.select(*keys, order, "x", "y"), keys, order, prev={"x0": "x", "y0": "y"}, chunk_rows=chunk_rows)
     p = p.withColumn("d", F.coalesce(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), F.lit(0.0)))
@@ -176,7 +179,10 @@ def resample_polyline(points: DataFrame, keys: Sequence[str], order: str, n: int
     step = F.col("total") / (n - 1)
     is_first = F.col("x0").isNull()
     start = p.filter(is_first).select(*keys, F.lit(0).alias("i"), "x", "y")
-    lo, hi = F.greatest(F.lit(1), F.floor(F.col("cum0") / step)), F.least(F.lit(n - 1), F.ceil(F.col("cum") / step))
+    # The last point is the end of the line itself, whatever the running sums have rounded to.
+    end = p.filter("total > 0").groupBy(*keys).agg(F.max_by(F.struct("x", "y"), F.col(order)).alias("e")).select(
+        *keys, F.lit(n - 1).alias("i"), "e.x", "e.y")
+    lo, hi = F.greatest(F.lit(1), F.floor(F.col("cum0") / step)), F.least(F.lit(n - 2), F.ceil(F.col("cum") / step))
     seg = p.filter(~is_first & (F.col("d") > 0)).withColumn("lo", lo.cast("int")).withColumn("hi", hi.cast("int"))
     seg = seg.filter("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
     target = F.col("i") / (n - 1) * F.col("total")
@@ -184,14 +190,14 @@ def resample_polyline(points: DataFrame, keys: Sequence[str], order: str, n: int
     t = (target - F.col("cum0")) / F.col("d")
     rest = seg.filter(inside).select(
         *keys, "i", (F.col("x0") + t * (F.col("x") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y") - F.col("y0"))).alias("y"))
-    return start.unionByName(rest)
+    return start.unionByName(rest).unionByName(end)
 
 
 def median_outline(points: DataFrame, laps: DataFrame, by: Sequence[str], n: int = 500, fastest: int = 5) -> DataFrame:
     """Pointwise median of the resampled fastest laps of each ``by`` (needs at least two)."""
     w = Window.partitionBy(*by).orderBy("lap_time_s", *LAP)
     chosen = laps.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fastest).select(*by, *LAP)
-    r = resample_polyline(points.join(chosen, LAP), [*by, *LAP], "lap_distance_m", n)
+    r = resample_polyline(points.join(chosen, LAP), [*by, *LAP], "frame_id", n)
     return r.groupBy(*by, "i").agg(
         F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"), F.count(F.lit(1)).alias("laps")).filter("laps >= 2")
 
