@@ -112,7 +112,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
     """Pairs of one bucket and different labels whose sketches allow a link.
 
     A bucket is compared in blocks of at most ``BLOCK`` members against each other, so that a hot one is many small groups;
-    nothing but the pairs that pass is emitted.  ``best``: for each member only the likeliest partner of a block pair.
+    nothing but the pairs that pass is emitted, each only in the first band that its sketches share.  ``best``: for each
+    member only the likeliest partner of a block pair.
     """
     floor = num / den - 4 * math.sqrt(num / den * (1 - num / den) / BINS)
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("same", IntegerType())])
@@ -120,7 +121,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
     count = materialise(count.select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     m = members.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    m = m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "label", "sketch")
+    m = m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "n", "label", "sketch")
     m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
             if (label == label[0]).all():
                 continue
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), BINS)
-            twin = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+            twin, band = t.column("i")[0].as_py() == t.column("j")[0].as_py(), t.column("band")[0].as_py()
             out = []
             for x in range(len(ids)):
                 ok = (label != label[x]) & (np.minimum(n, n[x]) * den >= np.maximum(n, n[x]) * num)
@@ -141,6 +142,9 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
                     same = (sk[y] == sk[x]).sum(axis=1)
                     good = same >= floor * BINS
                     y, same = y[good], same[good]
+                    shared = (sk[y] == sk[x]).reshape(len(y), BANDS, ROWS).all(axis=2)
+                    good = shared.argmax(axis=1) == band
+                    y, same = y[good], same[good]
                     if best and len(y):
                         y, same = y[[same.argmax()]], same[[same.argmax()]]
                     out.extend((int(min(ids[x], ids[v])), int(max(ids[x], ids[v])), int(s)) for v, s in zip(y, same))
@@ -181,9 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     width = 2 * ROWS
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sketch, b * {width} + 1, {width})))")
-    every = reps.select("id", "n", F.explode(band).alias("bucket"))
+    every = reps.select("id", "n", F.posexplode(band).alias("band", "bucket"))
     shared = materialise(every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"))
-    members = materialise(every.join(shared, "bucket").select("bucket", "id", "n", "c"))
+    members = materialise(every.join(shared, "bucket").select("bucket", "band", "id", "n", "c"))
 
     # Sets of the documents that share a bucket: everything that verification can ask for.
     busy = materialise(members.groupBy("id").agg(F.sum("c").alias("busy")))
@@ -201,8 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(verified(first, sets, num, den))
     for best in (True, False):
         label = components(links)
-        labelled = members.select("bucket", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
-        labelled = labelled.select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
+        labelled = members.select("bucket", "band", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("label"))
         split = materialise(
             labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
         )
