@@ -17,12 +17,11 @@ from .groups import binary_of, fixed_binary, sorted_runs
 from .textops import U64, mix, random_u64, text_shingles
 
 BANDS, ROWS = 27, 7
-BINS = BANDS * ROWS
 BLOCK = 1024
-_ROUND = random_u64(2 * BINS, 11)
+_ROUND = random_u64(1024, 11)
 
 
-def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
+def sketch(items: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
     """Fast similarity sketch of a set of 64-bit hashes: the smallest (round, hash) that reached each bin.
 
     In each of the first ``bins`` rounds every item falls into a bin picked by that round's hash; in round ``bins + i``
@@ -47,7 +46,7 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return (mix(values) >> U64(48)).astype(np.uint16)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, bins: int = BANDS * ROWS) -> DataFrame:
     """``id, n, s1, s2, sketch``: the number of distinct shingles, two hashes of the set, and its sketch (null when empty)."""
     schema = StructType(
         [StructField("id", LongType()), StructField("n", LongType()), StructField("s1", LongType()), StructField("s2", LongType()), StructField("sketch", BinaryType())]
@@ -61,7 +60,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> Da
                 n.append(len(items))
                 s1.append(int(mix(items + U64(7)).sum(dtype=U64).view(np.int64)))
                 s2.append(int(np.bitwise_xor.reduce(mix(items ^ U64(0x5BD1E995))).view(np.int64)) if len(items) else 0)
-                sk.append(_narrow(sketch(items)).tobytes() if len(items) else None)
+                sk.append(_narrow(sketch(items, bins)).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sk, pa.binary())],
                 names=["id", "n", "s1", "s2", "sketch"],
@@ -108,14 +107,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(run, schema)
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+def _cross_pairs(members: DataFrame, num: int, den: int, best: bool, bands: int, rows: int) -> DataFrame:
     """Pairs of one bucket and different labels whose sketches allow a link.
 
     A bucket is compared in blocks of at most ``BLOCK`` members against each other, so that a hot one is many small groups;
     nothing but the pairs that pass is emitted, each only in the first band that its sketches share.  ``best``: for each
     member only the likeliest partner of a block pair.
     """
-    floor = num / den - 4 * math.sqrt(num / den * (1 - num / den) / BINS)
+    floor = num / den - 4 * math.sqrt(num / den * (1 - num / den) / (bands * rows))
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("same", IntegerType())])
     count = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     count = materialise(count.select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
@@ -129,7 +128,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
             ids, n, label, own = (t.column(c).to_numpy() for c in ("id", "n", "label", "own"))
             if (label == label[0]).all():
                 continue
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), BINS)
+            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), bands * rows)
             twin, band = t.column("i")[0].as_py() == t.column("j")[0].as_py(), t.column("band")[0].as_py()
             out = []
             for x in range(len(ids)):
@@ -140,9 +139,9 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
                 y = np.flatnonzero(ok)
                 if len(y):
                     same = (sk[y] == sk[x]).sum(axis=1)
-                    good = same >= floor * BINS
+                    good = same >= floor * bands * rows
                     y, same = y[good], same[good]
-                    shared = (sk[y] == sk[x]).reshape(len(y), BANDS, ROWS).all(axis=2)
+                    shared = (sk[y] == sk[x]).reshape(len(y), bands, rows).all(axis=2)
                     good = shared.argmax(axis=1) == band
                     y, same = y[good], same[good]
                     if best and len(y):
@@ -161,7 +160,10 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool) -> DataFram
     return top.select("t.a", "t.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, size: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, size: int = 5,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
 
     Documents are linked when ``den * common >= num * union`` holds for their sets of distinct ``size``-word shingles (words
@@ -169,22 +171,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable by links, ``kept`` marks the document that has it.
 
     Method: equal sets are one class, grouped by a 128-bit hash.  One document of each class is sketched
-    (``sketch``); ``BANDS`` bands of ``ROWS`` bins put it into buckets, which a pair at the threshold 0.85 shares with a
-    chance of 1 - 3e-5.  Links come in three rounds, each confirmed on the full sets: every document with the busiest
+    (``sketch``); ``bands`` bands of ``rows`` bins put it into buckets, of which a pair at the threshold 0.85 shares one with
+    a chance of 1 - 3e-5.  Links come in three rounds, each confirmed on the full sets: every document with the busiest
     member of its buckets; then, where a bucket still holds several components, every member with its likeliest partner in
     another component; then all pairs of such buckets in different components that the sketches allow.  Pairs inside a
     component are never formed, so a group of near copies costs about a pair per member.
 
     Null or empty text, and text of white space only: no shingles, linked with nothing.  A null id: ``component_id`` null and
-    kept.  Rows that repeat an id are one document for linking and all get its component.  Extra columns are ignored.
+    kept.  Rows that repeat an id are one document: where their texts differ, the one whose set has the smallest hash is
+    linked, and all get its component.  Extra columns are ignored.
     """
-    sig = materialise(signatures(docs, id_col, text_col, size))
+    sig = materialise(signatures(docs, id_col, text_col, size, bands * rows))
     keys = ["s1", "s2", "n"]
+    named = sig.filter("n > 0 and id is not null")
+    several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high"))
+    several = materialise(several.filter("low <> high").select("id", "low"))
+    named = named.join(several, "id", "left").filter(F.col("low").isNull() | (F.col("low") == F.struct("s1", "s2"))).drop("low")
     reps = materialise(
-        sig.filter("n > 0 and id is not null").groupBy(*keys).agg(F.min(F.struct("id", "sketch")).alias("r")).select(*keys, "r.id", "r.sketch")
+        named.groupBy(*keys).agg(F.min(F.struct("id", "sketch")).alias("r")).select(*keys, "r.id", "r.sketch")
     )
-    width = 2 * ROWS
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sketch, b * {width} + 1, {width})))")
+    width = 2 * rows
+    band = F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(sketch, b * {width} + 1, {width})))")
     every = reps.select("id", "n", F.posexplode(band).alias("band", "bucket"))
     shared = materialise(every.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"))
     members = materialise(every.join(shared, "bucket").select("bucket", "band", "id", "n", "c"))
@@ -211,15 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
         )
         left = materialise(labelled.join(split, "bucket").join(reps.select("id", "sketch"), "id"))
-        more = materialise(verified(_cross_pairs(left, num, den, best), sets, num, den))
+        more = materialise(verified(_cross_pairs(left, num, den, best, bands, rows), sets, num, den))
         links = links.unionByName(more)
 
-    # Classes of equal sets join through their first document; rows that repeat an id tie their classes together.
-    same = materialise(sig.filter("n > 0 and id is not null").join(reps.select(*keys, F.col("id").alias("rep")), keys).select("id", "rep").distinct())
-    several = same.groupBy("id").agg(F.count("*").alias("k"), F.min("rep").alias("r0")).filter("k > 1")
-    ties = same.join(several, "id").select(F.col("rep").alias("a"), F.col("r0").alias("b"))
-    label = components(links.unionByName(ties))
-    rep_of = same.groupBy("id").agg(F.min("rep").alias("rep"))
+    # Every document has the component of the first document of its class of equal sets.
+    label = components(links)
+    rep_of = materialise(named.select("id", *keys).distinct().join(reps.select(*keys, F.col("id").alias("rep")), keys).select("id", "rep"))
     of_id = materialise(
         rep_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     )
