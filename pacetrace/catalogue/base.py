@@ -237,13 +237,18 @@ cte(
     "c_grid",
     """SELECT *, max(lap_time_raw) OVER (PARTITION BY session_id, segment_index ORDER BY s_m) AS lap_time_s FROM c_grid0""",
 )
+# The reference lap's value at each metre by a window over the metre, and the boxcar by differences of a running sum: no
+# join of the grid with itself.
 cte(
     "c_pair0",
-    """SELECT g.session_id, g.segment_index, g.s_m, g.lap_time_s, g.speed_kph, g.throttle_norm, g.brake_norm, r.lap_time_s AS ref_lap_time_s,
-  r.speed_kph AS ref_speed_kph, r.throttle_norm AS ref_throttle_norm, r.brake_norm AS ref_brake_norm, (g.lap_time_s - r.lap_time_s)*1000 AS dt,
-  count(*) OVER (PARTITION BY g.session_id, g.segment_index) AS n
-FROM c_grid g JOIN c_laps l ON l.session_id = g.session_id AND l.segment_index = g.segment_index AND l.status = 'eligible'
-JOIN c_ref ON TRUE JOIN c_grid r ON r.session_id = ref_session_id AND r.segment_index = ref_segment_index AND r.s_m = g.s_m""",
+    """SELECT *, count(*) OVER (PARTITION BY session_id, segment_index) AS n FROM (
+  SELECT *, (lap_time_s - ref_lap_time_s)*1000 AS dt FROM (
+    SELECT session_id, segment_index, s_m, lap_time_s, speed_kph, throttle_norm, brake_norm, max(CASE WHEN is_ref THEN lap_time_s END) OVER m AS ref_lap_time_s,
+      max(CASE WHEN is_ref THEN speed_kph END) OVER m AS ref_speed_kph, max(CASE WHEN is_ref THEN throttle_norm END) OVER m AS ref_throttle_norm,
+      max(CASE WHEN is_ref THEN brake_norm END) OVER m AS ref_brake_norm
+    FROM (SELECT g.*, session_id = ref_session_id AND segment_index = ref_segment_index AS is_ref FROM c_grid g JOIN (
+      SELECT session_id, segment_index FROM c_laps WHERE status = 'eligible') USING (session_id, segment_index) CROSS JOIN c_ref) WINDOW m AS (PARTITION BY s_m))
+  WHERE ref_lap_time_s IS NOT NULL)""",
 )
 cte(
     "c_cum",
@@ -251,7 +256,6 @@ cte(
 )
 cte(
     "c_pair",
-    """SELECT c.*, (h.cum - coalesce(l.cum, 0e0))/(2*c.r + 1) AS delta_ms FROM c_cum c
-JOIN c_cum h ON h.session_id = c.session_id AND h.segment_index = c.segment_index AND h.s_m = c.s_m + c.r
-LEFT JOIN c_cum l ON l.session_id = c.session_id AND l.segment_index = c.segment_index AND l.s_m = c.s_m - c.r - 1""",
+    """SELECT *, (lead(cum, r) OVER w - coalesce(lag(cum, r + 1) OVER w, 0e0))/(2*r + 1) AS delta_ms FROM c_cum
+WINDOW w AS (PARTITION BY session_id, segment_index ORDER BY s_m)""",
 )

@@ -94,9 +94,8 @@ def _(spark, sf):
        f"""WITH g AS (SELECT session_id, segment_index, s AS s_m, {lerp('v', 'speed_kph')} FROM c_own),
        c AS (SELECT *, count(*) OVER (PARTITION BY session_id, segment_index) AS n FROM g),
        d AS (SELECT *, sum(speed_kph) OVER (PARTITION BY session_id, segment_index ORDER BY s_m) AS cum, least(20, s_m, n - 1 - s_m) AS r FROM c)
-       SELECT d.session_id, d.segment_index, d.s_m::INT AS s_m, (h.cum - coalesce(l.cum, 0e0))/(2*d.r + 1) AS speed_kph FROM d
-       JOIN d h ON h.session_id = d.session_id AND h.segment_index = d.segment_index AND h.s_m = d.s_m + d.r
-       LEFT JOIN d l ON l.session_id = d.session_id AND l.segment_index = d.segment_index AND l.s_m = d.s_m - d.r - 1""")
+       SELECT session_id, segment_index, s_m::INT AS s_m, (lead(cum, r) OVER w - coalesce(lag(cum, r + 1) OVER w, 0e0))/(2*r + 1) AS speed_kph FROM d
+       WINDOW w AS (PARTITION BY session_id, segment_index ORDER BY s_m)""")
 def _(spark, sf):
     return gr.boxcar(gr.resample(kept(spark, sf), gr.LAP, ["speed_kph"]), "speed_kph")
 

@@ -210,13 +210,14 @@ def kth_values(
     keys: Sequence[str],
     value: Column | str,
     ranks: Mapping[str, Column],
-    buckets: int = 1024,
+    buckets: int = 128,
 ) -> DataFrame:
     """Exact order statistics per key without sorting a whole key in one task.
 
     ``ranks``: output name → 0-based rank written over the column ``n`` (rows in the key).  Equal values are
-    counted first (map side), a histogram of equal-width buckets finds the buckets that hold the ranks, and
-    only those buckets' values are sorted.  Returns keys, ``n`` and one column per rank.
+    counted first (map side), a quantile sketch of the distinct values gives bounds of buckets of about one size, however the
+    values lie, the counts per bucket find those that hold the ranks, and only these buckets' values are sorted.  Returns
+    keys, ``n`` and one column per rank.
     """
     keys = list(keys)
     vals = (
@@ -226,12 +227,10 @@ def kth_values(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     vals = materialise(vals)  # read by every later step, computed once
-    bounds = vals.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n"))
-    span = F.col("__hi") - F.col("__lo")
-    bucket = F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / span * buckets).cast("int"))
-    )
-    placed = vals.join(bounds, keys).withColumn("__b", bucket)
+    cuts = F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets)
+    bounds = vals.groupBy(*keys).agg(cuts.alias("__cuts"), F.sum("__n").alias("n"))
+    bucket = F.size(F.filter("__cuts", lambda x: x < F.col("__v")))
+    placed = vals.join(bounds, keys).withColumn("__b", bucket).drop("__cuts")
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()]))
     hist = (

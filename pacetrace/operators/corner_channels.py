@@ -136,13 +136,17 @@ def reference_windows(references: DataFrame, corners: DataFrame, phases: DataFra
     is_exit = F.col("phase").isin("exit", "exit_brake", "exit_throttle")
     ref_s = F.col("reference_phase_distance_m")
     by = [c for c in references.columns if c in phases.columns] + ["corner_id"]
-    found = phases.groupBy(*by).agg(
-        F.percentile(F.when(F.col("phase") == "entry", ref_s), 0.5).alias("entry_m"),
-        F.percentile(F.when(F.col("phase") == "minimum_speed", F.col("reference_apex_distance_m")), 0.5).alias("found_apex_m"),
-        F.percentile(F.when(is_exit, ref_s), 0.5).alias("exit_m"),
-        F.max("gain_end_distance_m").alias("found_end_m"),
-        F.lit("reference_phases").alias("found_source"),
-    )
+    # One row per value and measure; the two middle values of each measure give its median, whatever the number of laps.
+    values = F.array(
+        F.struct(F.lit("entry_m").alias("m"), F.when(F.col("phase") == "entry", ref_s).alias("v")),
+        F.struct(F.lit("found_apex_m").alias("m"), F.when(F.col("phase") == "minimum_speed", F.col("reference_apex_distance_m")).alias("v")),
+        F.struct(F.lit("exit_m").alias("m"), F.when(is_exit, ref_s).alias("v")),
+    )
+    each = phases.select(*by, F.inline(values))
+    middle = kth_values(each, [*by, "m"], "v", {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    medians = middle.groupBy(*by).agg(*[F.max(F.when(F.col("m") == c, (F.col("low") + F.col("high")) / 2)).alias(c) for c in ("entry_m", "found_apex_m", "exit_m")])
+    furthest = phases.groupBy(*by).agg(F.max("gain_end_distance_m").alias("found_end_m"), F.lit("reference_phases").alias("found_source"))
+    found = furthest.join(medians, by, "left")
     base = references.join(corner_bounds(corners), "track_id")
     return (
         base.join(found, by, "left")

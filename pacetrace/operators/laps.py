@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_join
 from . import segments as sg
 from .segments import LAP
 
@@ -250,35 +251,18 @@ def reference_change_audit(before: DataFrame, after: DataFrame, prefix: Column)
         .when(F.col("old_digest") != F.col("new_digest"), "modified")
     )
     c = joined.withColumn("change", change).filter(F.col("change").isNotNull()).withColumn("in_target", prefix)
-    w = Window.partitionBy("change")
-    allowed = (
-        F.col("in_target")
-        & (F.col("change") != "modified")
-        & ((F.col("change") != "added") | (F.count(F.lit(1)).over(w) <= 1))
-    )
-    return c.withColumn("allowed", allowed)
+    kinds = c.groupBy("change").agg(F.count(F.lit(1)).alias("n"))  # three rows at most
+    allowed = F.col("in_target") & (F.col("change") != "modified") & ((F.col("change") != "added") | (F.col("n") <= 1))
+    return c.join(F.broadcast(kinds), "change").withColumn("allowed", allowed).drop("n")
 
 
 def validate_references(references: DataFrame, laps: DataFrame) -> DataFrame:
     """Checks of stored reference laps; ``laps`` supplies possible origins of the same track and car."""
-    origin = laps.select(
-        "track_id", "car", F.col("duration_s").alias("origin_s"), F.col("session_id").alias("origin_session")
-    )
-    match = references.join(
-        origin,
-        (references.track_id == origin.track_id)
-        & (references.car == origin.car)
-        & (F.abs(references.reference_s - origin.origin_s) <= 0.005),
-        "left",
-    )
-    g = match.groupBy(references.track_id, references.car, references.name).agg(
-        F.first("segments").alias("segments"),
-        F.first("frames").alias("frames"),
-        F.first("reference_s").alias("reference_s"),
-        F.first("max_lap_time_s").alias("max_lap_time_s"),
-        F.first("rate_hz").alias("rate_hz"),
-        F.count("origin_s").alias("origins"),
-    )
+    key = ["track_id", "car"]
+    around = references.select(*key, "name", "reference_s", (F.col("reference_s") - 0.006).alias("lo"), (F.col("reference_s") + 0.006).alias("hi"))
+    near = range_join(laps.select(*key, F.col("duration_s").alias("origin_s")), around, key, "origin_s", "lo", "hi", bucket_m=0.05)
+    origins = near.filter(F.abs(F.col("reference_s") - F.col("origin_s")) <= 0.005).groupBy(*key, "name").agg(F.count(F.lit(1)).alias("origins"))
+    g = references.join(origins, [*key, "name"], "left").withColumn("origins", F.coalesce("origins", F.lit(0).cast("long")))
     return (
         g.withColumn("one_segment", F.col("segments") == 1)
         .withColumn("time_ok", F.abs(F.col("max_lap_time_s") - F.col("reference_s")) <= 1.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNK_ROWS, run_pieces, runs, tag_runs
+from ..functions.ordered import CHUNK_ROWS, kth_value, run_pieces, runs, tag_runs
 from ..functions.storage import materialise
 
 SESSION = ["session_id"]
@@ -53,24 +53,10 @@ def with_segments(frames: DataFrame, chunk_rows: int = CHUNK_ROWS, written: bool
 def lap_start_clock(seg_frames: DataFrame) -> DataFrame:
     """Upper median of (session clock − lap clock) per segment.
 
-    The difference is constant in a lap but for clock noise, so counting equal values first (map side)
-    leaves a handful of rows per segment for the ordered step.
+    The clocks can differ on every row, so the order statistic never sorts a lap in one task.
     """
     diff = F.col("session_time_s") - F.col("lap_time_s")
-    counted = (
-        seg_frames.select(*LAP, diff.alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy(*LAP, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = Window.partitionBy(*LAP).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counted.withColumn("cum", F.sum("c").over(w))
-        .withColumn("n", F.sum("c").over(Window.partitionBy(*LAP)))
-        .withColumn("r", F.floor(F.col("n") / 2))
-        .filter((F.col("r") < F.col("cum")) & (F.col("r") >= F.col("cum") - F.col("c")))
-        .select(*LAP, F.col("v").alias("lap_start_s"))
-    )
+    return kth_value(seg_frames, LAP, diff, F.floor(F.col("n") / 2), "lap_start_s").drop("n")
 
 
 def stationary_seconds(seg_frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -194,17 +194,18 @@ def match_corners(corners: DataFrame, candidates: DataFrame, preserved: Column |
     cand = candidates.select("track_id", "candidate", F.col("apex_m").cast("double").alias("cand_apex_m"))
     pairs = range_join(cand, near, ["track_id"], "cand_apex_m", "m_lo", "m_hi").select(
         "track_id", "corner_pos", "candidate", F.abs(F.col("cand_apex_m") - F.col("apex_s_m")).alias("gap"))
-    def claim_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One track's corner–candidate pairs (a few per corner), claimed globally nearest first."""
-        corners, used, out = set(), set(), []
-        for r in pdf.sort_values(["gap", "corner_pos", "candidate"], kind="stable").itertuples(index=False):
-            if r.corner_pos not in corners and r.candidate not in used:
-                corners.add(r.corner_pos)
-                used.add(r.candidate)
-                out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    claimed = pairs.groupBy("track_id").applyInPandas(claim_nearest, pairs.schema)
+    # Rounds of pairs that are each other's nearest: what a claim of all pairs, nearest first, would take, without an order
+    # over a whole track.
+    left, claimed = materialise(pairs), None
+    rank = F.struct("gap", "corner_pos", "candidate")
+    while not left.isEmpty():
+        best = left.groupBy("track_id", "corner_pos").agg(F.min(rank).alias("r")).select("track_id", "r.*")
+        mine = left.groupBy("track_id", "candidate").agg(F.min(rank).alias("r")).select("track_id", "r.corner_pos", "r.candidate")
+        mutual = materialise(best.join(mine, ["track_id", "corner_pos", "candidate"]).select(*pairs.columns))
+        claimed = mutual if claimed is None else claimed.unionByName(mutual)
+        left = materialise(left.join(mutual.select("track_id", "corner_pos"), ["track_id", "corner_pos"], "left_anti").join(
+            mutual.select("track_id", "candidate"), ["track_id", "candidate"], "left_anti").select(*pairs.columns))
+    claimed = left if claimed is None else claimed
     return corners.join(claimed, ["track_id", "corner_pos"], "left")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
@@ -32,10 +32,10 @@ def pair_laps(laps: DataFrame, references: DataFrame, by: list[str]) -> DataFram
     p = laps.join(references, by)
     own = F.ceil("max_distance_m")
     is_ref = (F.col("session_id") == F.col("ref_session_id")) & (F.col("segment_index") == F.col("ref_segment_index"))
-    longest = F.max(own).over(Window.partitionBy(*REF))
-    return p.withColumn(
-        "grid_end_m", F.greatest(own, F.when(is_ref, longest).otherwise(F.ceil("ref_max_m"))).cast("int")
-    ).withColumn("is_reference", is_ref)
+    longest = p.groupBy(*REF).agg(F.max(own).alias("longest"))
+    return p.join(longest, REF).withColumn(
+        "grid_end_m", F.greatest(own, F.when(is_ref, F.col("longest")).otherwise(F.ceil("ref_max_m"))).cast("int")
+    ).withColumn("is_reference", is_ref).drop("longest")
 
 
 def lap_grids(
