@@ -36,17 +36,18 @@ def _(spark, sf):
     return dt.rotate_sessions(live_frames(spark, sf))
 
 
+SLICES, FILES = 3, 4
+
+
 def stream_of(spark, frames, cols):
-    """The frames as a file stream: written in three time slices that arrive one after the other."""
+    """The frames as a file stream: time slices that arrive one after the other, each of ``FILES`` files and a micro-batch."""
     out = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     ordered = frames.select(*cols)
-    cut = frames.agg(F.min("frame_id").alias("lo"), (F.max("frame_id") + 1).alias("hi"))
-    for i in range(3):
-        lo = F.col("lo") + (F.col("hi") - F.col("lo")) * i / 3
-        hi = F.col("lo") + (F.col("hi") - F.col("lo")) * (i + 1) / 3
-        part = ordered.join(cut, (F.col("frame_id") >= lo) & (F.col("frame_id") < hi)).select(*cols)
-        part.write.mode("append").parquet(out)
-    return spark.readStream.schema(ordered.schema).parquet(out)
+    lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id") + 1).first()  # two numbers
+    for i in range(SLICES):
+        a, b = (lo + (hi - lo) * k / SLICES for k in (i, i + 1))
+        ordered.filter((F.col("frame_id") >= a) & (F.col("frame_id") < b)).repartition(FILES).write.mode("append").parquet(out)
+    return spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", FILES).parquet(out)
 
 
 def drain(spark, stream):
@@ -55,6 +56,9 @@ def drain(spark, stream):
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+    batches = sum(p["numInputRows"] > 0 for p in q.recentProgress)
+    if batches < SLICES:
+        raise RuntimeError(f"the stream ran in {batches} micro-batches, not in {SLICES}")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -170,7 +174,7 @@ def _(spark, sf):
 
 
 @query("idle_sessions_stream", "X9 X1", "source_id frames first_frame last_frame",
-       """WITH g AS (SELECT session_id, frame_id, us, CASE WHEN us - lag(us) OVER w < 7200000000 THEN 0 ELSE 1 END AS b FROM (SELECT event_type AS session_id, event_id AS frame_id, us FROM c_raw WHERE NOT (j % 11 = 0 AND od > 72576000000)) WINDOW w AS (PARTITION BY session_id ORDER BY frame_id)),
+       """WITH g AS (SELECT session_id, frame_id, us, CASE WHEN us - lag(us) OVER w < 7200000000 THEN 0 ELSE 1 END AS b FROM (SELECT event_type AS session_id, event_id AS frame_id, us FROM c_raw) WINDOW w AS (PARTITION BY session_id ORDER BY frame_id)),
        h AS (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY frame_id) AS s FROM g), k AS (SELECT session_id AS source_id, s, count(*) AS frames, min(frame_id) AS first_frame, max(frame_id) AS last_frame, max(us) AS e FROM h GROUP BY session_id, s)
        SELECT * FROM k WHERE e + 7200000000 < (SELECT max(us) FROM g) - 60000000""")
 def _(spark, sf):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.storage import materialise
 from ..operators import segments as sg
 from ..operators.segments import LAP
 
@@ -43,18 +44,34 @@ def completed_lap_handler(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler: analyse the laps completed in a batch from the written frames.
 
-    Each batch overwrites its own folder, so a replayed batch gives the same result once.
+    Only the sessions of the batch are read, which are partitions of the sink.  A lap whose frames the sink has not all
+    written yet, by the frame count of its event, stays pending and is tried again with the next batch; ``pending_laps``
+    reads what is left.  Each batch overwrites its own folders, so a replayed batch gives the same result once.
     """
 
     def handle(events: DataFrame, batch_id: int) -> None:
-        done = events.filter("event = 'lap_completed'").select(
-            F.col("source_id").alias("session_id"), F.col("frame_id").alias("next_start"))
         spark = events.sparkSession
-        frames = sg.with_segments(spark.read.parquet(frames_path))
+        done = events.filter("event = 'lap_completed'").select(
+            F.col("source_id").alias("session_id"), F.col("frame_id").alias("next_start"), F.col("frame_count").alias("expected"))
+        if batch_id > 0:
+            done = done.unionByName(pending_laps(spark, out, batch_id - 1))
+        done = materialise(done)
+        frames = spark.read.parquet(frames_path).join(done.select("session_id").distinct(), "session_id", "left_semi")
+        frames = sg.with_segments(frames)
         # The completed lap is the segment that ends right before the event's frame.
-        ends = frames.groupBy(*LAP).agg(F.max("frame_id").alias("end_frame"), F.min("frame_id").alias("start_frame"))
-        nxt = ends.select("session_id", F.col("start_frame").alias("next_start"), (F.col("segment_index") - 1).cast("int").alias("segment_index"))
-        wanted = nxt.join(done, ["session_id", "next_start"]).select(*LAP)
+        ends = frames.groupBy(*LAP).agg(F.min("frame_id").alias("start_frame"), F.count(F.lit(1)).alias("rows"))
+        before = ends.select("session_id", (F.col("segment_index") + 1).cast("int").alias("segment_index"), "rows")
+        nxt = ends.select(*LAP, F.col("start_frame").alias("next_start")).join(before, LAP)
+        found = done.join(nxt, ["session_id", "next_start"], "left").withColumn("segment_index", F.col("segment_index") - 1)
+        found = materialise(found.withColumn("ready", F.coalesce(F.col("rows") >= F.col("expected"), F.lit(False))))
+        wanted = found.filter("ready").select(*LAP)
         analyse(frames.join(wanted, LAP, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        left = found.filter("NOT ready").select("session_id", "next_start", "expected")
+        left.write.mode("overwrite").parquet(f"{out}-pending/batch_id={batch_id}")
 
     return handle
+
+
+def pending_laps(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """Completed laps that a batch could not analyse, since their frames were not all written."""
+    return spark.read.schema("session_id string, next_start long, expected long").parquet(f"{out}-pending/batch_id={batch_id}")
