@@ -201,17 +201,27 @@ def _(spark, sf):
     return lp.validate_references(refs, laps.filter("status = 'eligible'"))
 
 
-@query("classification_audit", "L21", "session_id status checked unjustified",
-       """SELECT session_id, status, count(*) AS checked, 0::BIGINT AS unjustified FROM c_laps GROUP BY ALL""")
+#: Faults put into the records of a session, by the remainder of the segment's number: statuses first.
+FAULTS = ("eligible", "short", "pit-lap", "invalid", "in-lap", "out-lap", "incomplete", "clean flag", "reason", "frame range", "none")
+
+
+@query("classification_audit", "L21", K + "fault flagged",
+       f"""WITH f AS (SELECT *, ({list(FAULTS)})[1 + segment_index % {len(FAULTS)}] AS fault FROM c_laps)
+       SELECT session_id, segment_index, fault, CASE WHEN fault IN ('clean flag', 'frame range') THEN TRUE WHEN fault = 'reason' THEN status <> 'eligible' WHEN fault = 'none' THEN FALSE ELSE fault <> status END AS flagged FROM f""")
 def _(spark, sf):
     from ..functions.storage import materialise
 
     f = base.seg_frames(spark, sf)
     laps = materialise(lp.classify_laps(f))
-    bad = lp.audit_classification(f, laps).groupBy("session_id", "status").agg(F.count(F.lit(1)).alias("bad"))
-    return laps.groupBy("session_id", "status").agg(F.count(F.lit(1)).alias("checked")).join(
-        bad, ["session_id", "status"], "left"
-    ).withColumn("unjustified", F.coalesce("bad", F.lit(0).cast("long")))
+    fault = F.element_at(F.array(*map(F.lit, FAULTS)), 1 + F.col("segment_index") % len(FAULTS))
+    bent = laps.withColumn("fault", fault).withColumns({
+        "status": F.when(F.col("fault").isin(*FAULTS[:7]), F.col("fault")).otherwise(F.col("status")),
+        "clean": (F.col("fault") == "clean flag") != F.col("clean"),
+        "reason": F.when(F.col("fault") != "reason", F.col("reason")).otherwise(F.lit("")),
+        "start_frame": F.col("start_frame") + (F.col("fault") == "frame range").cast("int"),
+    })
+    bad = lp.audit_classification(f, bent).select("session_id", "segment_index", F.lit(True).alias("found"))
+    return bent.join(bad, ["session_id", "segment_index"], "left").withColumn("flagged", F.coalesce("found", F.lit(False)))
 
 
 @query("lap_number_summary", "L22", "session_id lap_number frames ~max_lap_time_s ~max_distance_m ~max_speed_kph complete",

@@ -306,61 +306,42 @@ def segment_for_lap(segments: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def audit_classification(seg_frames: DataFrame, laps: DataFrame) -> DataFrame:
-    """Re-derive the grounds of every status from the frames; one row per unjustified record.
+    """Records of ``laps`` that the frames do not bear out, with the ``faults`` found: one row per bad record.
 
-    Independent of :func:`classify`: each claim is tested on its own evidence, and records must tile the table.
+    Only what the record claims is taken from it: frame range, status, reason, clean flag.  All evidence comes from the
+    frames.  Every status has its ground, and a record is right when its ground holds and none of higher rank does; an
+    eligible record needs that none holds at all.  Records without a segment, and segments without a record, are bad too.
     """
-    m = (
-        seg_frames.groupBy(*LAP)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("frame_id").alias("first_frame"),
-            F.max("frame_id").alias("final_frame"),
-            F.max("lap_distance_m").alias("far_m"),
-            F.min("lap_distance_m").alias("near_m"),
-            F.min("session_time_s").alias("t0"),
-            F.max("session_time_s").alias("t1"),
-            F.count_if(~F.col("lap_valid")).alias("false_flags"),
-            F.count_if(F.col("speed_kph") < sg.PIT_STOP_SPEED_KPH).alias("slow_rows"),
-        )
-    )
+    m = measured_laps(seg_frames)
     w = Window.partitionBy("session_id")
-    m = (
-        m.withColumn("longest_m", F.max("far_m").over(w))
-        .withColumn("final_segment", F.max("segment_index").over(w))
-        .withColumn("flag_varies", (F.sum("false_flags").over(w) > 0) & (F.sum("false_flags").over(w) < F.sum("rows").over(w)))
-    )
-    j = m.join(
-        laps.select(
-            *LAP, "status", "duration_s", "yardstick_s", "rate_hz", "start_frame", "end_frame",
-            "entry_peak_kph", "prev_lap_number", "lap_number",
-        ),
-        LAP,
-        "full_outer",
-    )
-    rate_off = F.abs(F.col("rows") / ((F.col("t1") - F.col("t0")) * F.col("rate_hz")) - 1) > ROW_RATE_TOLERANCE
-    count_off = ~(F.col("rows") / (F.col("duration_s") * F.col("rate_hz"))).between(0.5, 2.0)
-    ratio = F.col("duration_s") / F.col("yardstick_s")
+    longest = F.max("max_distance_m").over(w)
+    span = F.col("last_clock_s") - F.col("first_clock_s")
+    nominal, ratio = F.col("duration_s") * F.col("rate_hz"), F.col("duration_s") / F.col("yardstick_s")
+    opens_stint = (F.col("segment_index") == 0) | ((F.col("lap_number") == 0) & (F.col("prev_lap_number") != 0))
     grounds = {
-        "incomplete": (F.col("segment_index") == F.col("final_segment"))
-        | (F.col("far_m") < 0.8 * F.col("longest_m"))
-        | (F.col("near_m") > 0.1 * F.col("longest_m")),
-        "out-lap": F.coalesce(F.col("entry_peak_kph") < RACING_START_SPEED_KPH, F.lit(True)),
-        "short": rate_off | count_off,
-        "invalid": F.col("flag_varies") & (F.col("false_flags") > 0),
-        "in-lap": ratio < IN_LAP_RATIO,
-        "pit-lap": (F.col("slow_rows") > 0) | (ratio > PIT_LAP_RATIO),
+        "incomplete": F.col("is_last") | (F.col("max_distance_m") < 0.8 * longest) | (F.col("min_distance_m") > 0.1 * longest),
+        "out-lap": opens_stint & ~F.coalesce(F.col("entry_peak_kph") >= RACING_START_SPEED_KPH, F.lit(False)),
+        "short": ((nominal > 0) & ~(F.col("frames") / nominal).between(1 / FRAME_INTEGRITY_FACTOR, FRAME_INTEGRITY_FACTOR))
+        | (F.abs(F.col("frames") / (span * F.col("rate_hz")) - 1) > ROW_RATE_TOLERANCE),
+        "invalid": F.col("validity_trusted") & F.col("any_invalid"),
+        "in-lap": (F.col("yardstick_s") > 0) & (ratio < IN_LAP_RATIO),
+        "pit-lap": (F.col("yardstick_s") > 0) & ((F.col("stationary_s") >= PIT_STOP_MIN_S) | (ratio > PIT_LAP_RATIO)),
     }
-    clear_of = [grounds[s] for s in ("incomplete", "short", "invalid", "in-lap")]
-    nothing_wrong = F.lit(True)
-    for g in clear_of:
-        nothing_wrong = nothing_wrong & ~F.coalesce(g, F.lit(False))
-    justified = F.when(F.col("status") == "eligible", nothing_wrong & (ratio <= PIT_LAP_RATIO))
-    for status, g in grounds.items():
-        justified = justified.when(F.col("status") == status, g)
-    tiles = (F.col("first_frame") == F.col("start_frame")) & (F.col("final_frame") == F.col("end_frame"))
-    return (
-        j.withColumn("justified", F.coalesce(justified, F.lit(False)))
-        .withColumn("tiles", F.coalesce(tiles, F.lit(False)))
-        .filter(~F.col("justified") | ~F.col("tiles"))
-    )
+    holds = F.array(*[F.when(F.coalesce(g, F.lit(False)), F.lit(status)) for status, g in grounds.items()])
+    m = m.withColumn("held", F.array_compact(holds)).withColumn("sound", F.size("held") == 0)
+    fastest = F.min(F.when(F.col("sound") & (F.col("duration_s") > 0), F.col("duration_s"))).over(w)
+    m = m.withColumn("quick", F.coalesce(F.col("sound") & (F.col("duration_s") > 0) & (F.col("duration_s") <= CLEAN_LAP_RATIO * fastest), F.lit(False)))
+    seen = m.select(*LAP, "held", "sound", "quick", F.col("start_frame").alias("first_frame"), F.col("end_frame").alias("final_frame"), F.lit(True).alias("real"))
+    claims = laps.select(*LAP, "status", "reason", "clean", "start_frame", "end_frame", F.lit(True).alias("claimed"))
+    j = claims.join(seen, LAP, "full_outer")
+    right = F.when(F.col("status") == "eligible", F.col("sound")).otherwise(F.get("held", F.lit(0)) == F.col("status"))
+    checks = {
+        "no such segment": F.col("real").isNull(),
+        "no record": F.col("claimed").isNull(),
+        "status": ~F.coalesce(right, F.lit(False)),
+        "clean flag": ~F.col("clean").eqNullSafe(F.col("quick")),
+        "reason": (F.coalesce("reason", F.lit("")) == "") != (F.col("status") == "eligible"),
+        "frame range": ~F.col("start_frame").eqNullSafe(F.col("first_frame")) | ~F.col("end_frame").eqNullSafe(F.col("final_frame")),
+    }
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
+    return j.withColumn("faults", faults).filter(F.size("faults") > 0).select(*LAP, "status", "faults")
