@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from pacetrace.catalogue import load
+from pacetrace.functions.storage import clear_scratch
 
 HEADLINE = ("lap_inventory", "metre_grid", "lap_alignment", "corner_phase_facts", "speed_envelope", "session_facts")
 
@@ -34,6 +35,7 @@ def main() -> None:
         start = time.perf_counter()
         todo[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..functions.storage import materialise, scratch_dir
+from ..functions.storage import materialise, scratch_path
 from ..operators import resolve as rs
 from ..sources import documents as dc
 from ..sources import sessions as ss
@@ -24,7 +22,7 @@ def _stem():
 
 def shards(spark, sf):
     """Frames written as numbered session shards; returns their folder and the shard schema."""
-    out = f"{scratch_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "shards")
     f = base.frames(spark, sf).select(
         _stem().alias("stem"), (F.col("frame_id") / 1000).cast("int").alias("part"), "frame_id", "session_time_s", "lap_number",
         F.col("speed_kph"), F.when(F.col("gear") > 0, F.col("throttle_norm")).otherwise(F.lit(float("nan"))).alias("throttle_norm"), "fuel_l")
@@ -48,7 +46,7 @@ def _(spark, sf):
 
 def sidecars(spark, sf):
     """Sidecar documents written from the session list; one of them is damaged and one is missing."""
-    out = f"{scratch_dir(spark).rstrip('/')}/sidecars-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "sidecars")
     s = base.frames(spark, sf).select("session_id").distinct()
     doc = F.to_json(F.struct(
         F.lit("2").alias("schema_version"), F.concat(F.lit("2024-01-"), F.lpad(F.length("session_id").cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("started_utc"),
@@ -113,7 +111,7 @@ def _(spark, sf):
 
 def track_models(spark, sf):
     """One model document per region, written as JSON: some corners break a rule."""
-    out = f"{scratch_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "models")
     n = base.corners(spark, sf).withColumn("region", F.col("corner_pos") % 5).select(
         "region", F.struct(
             F.concat(F.lit("t"), F.col("corner_id").cast("string")).alias("id"), F.col("corner_name").alias("name"),
@@ -150,7 +148,7 @@ def _(spark, sf):
 
 def catalogue(spark, sf):
     """Vehicle catalogue document written from the suppliers and read back."""
-    out = f"{scratch_dir(spark).rstrip('/')}/vehicles-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "vehicles")
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     # Some cars are listed under a name that no session uses.
     s = s.withColumn("s_name", F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 3, F.lit(" b")).otherwise(F.lit(""))))
@@ -186,7 +184,7 @@ def _(spark, sf):
        WINDOW w AS (PARTITION BY session_id, segment_index ORDER BY frame_id)""")
 def _(spark, sf):
     f = base.seg_frames(spark, sf)
-    out = f"{scratch_dir(spark).rstrip('/')}/delta-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "delta")
     line = F.concat_ws(",", (F.col("lap_distance_m") + F.col("steering_norm") * 5).cast("string"), F.col("lap_time_s").cast("string"))
     head = f.select("session_id", "segment_index").distinct().select(
         "session_id", "segment_index", F.lit(-1).cast("long").alias("frame_id"), F.explode(F.array(F.lit("# distance,time"), F.lit(""), F.lit("x,y"))).alias("value"))
@@ -223,7 +221,7 @@ def _(spark, sf):
 @query("session_sink", "S9", "session_id row_count lap_count frames_written in_progress",
        """SELECT session_id, count(*) AS row_count, count(DISTINCT lap_number) AS lap_count, count(*) AS frames_written, FALSE AS in_progress FROM c_frames GROUP BY ALL""")
 def _(spark, sf):
-    out = f"{scratch_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "sink")
     f = base.frames(spark, sf)
     ss.write_session_tables(f, f.select("session_id").distinct(), out)
     back = spark.read.parquet(f"{out}/frames").groupBy("session_id").agg(F.count(F.lit(1)).alias("frames_written"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.storage import scratch_dir
+from ..functions.storage import scratch_path
 from ..operators import resolve as rs
 from ..operators import segments as sg
 from ..sources.frames import TRACK_ID
@@ -41,7 +39,7 @@ SLICES, FILES = 3, 4
 
 def stream_of(spark, frames, cols):
     """The frames as a file stream: time slices that arrive one after the other, each of ``FILES`` files and a micro-batch."""
-    out = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "stream")
     ordered = frames.select(*cols)
     lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id") + 1).first()  # two numbers
     for i in range(SLICES):
@@ -52,7 +50,7 @@ def stream_of(spark, frames, cols):
 
 def drain(spark, stream):
     """Run a stream over what is there into a written table and read it back."""
-    root = f"{scratch_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "drain")
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -138,7 +136,7 @@ def _(spark, sf):
        """SELECT session_id, segment_index, count(*) AS frames, max(lap_time_s) AS max_lap_time_s, max(speed_kph) AS top_speed_kph FROM c_seg JOIN (SELECT session_id, segment_index FROM (
        SELECT session_id, segment_index, lap_number, lead(lap_number) OVER (PARTITION BY session_id ORDER BY segment_index) AS nl FROM c_meas) WHERE nl > lap_number) USING (session_id, segment_index) GROUP BY ALL""")
 def _(spark, sf):
-    root = f"{scratch_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "live")
     cols = [*LIVE_COLS, "session_id", "speed_kph"]
     frames = stream_of(spark, one_track(spark, sf), cols)
     jobs.start_session_sink(frames, f"{root}/frames", f"{root}/c1", None).awaitTermination()

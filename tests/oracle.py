@@ -80,6 +80,7 @@ def main(argv: list[str]) -> int:
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
     from __spark_entry__ import oracle_sql, queries
+    from pacetrace.functions.storage import clear_scratch
 
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = make_spark(), make_duck(sf_dir)
@@ -99,6 +100,7 @@ def main(argv: list[str]) -> int:
             print(f"{name:34s} {got.num_rows:8d} rows {t1 - t0:6.2f}s / {time.time() - t1:5.2f}s  {status}", flush=True)
             if problem or got.num_rows == 0 and name not in oracles:
                 failed.append(name)
+            clear_scratch(spark)
         except Exception as exc:  # report and go on with the next query
             print(f"{name:34s} ERROR {str(exc)[:1500]}", flush=True)
             failed.append(name)
