@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import scratch_dir
+from ..functions.storage import scratch_path
 from . import binary_ids, mixing, packing, passages, quality, warc
 from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
@@ -54,11 +53,6 @@ def mixed(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs, levels, WEIGHTS, F.expr(WORDS), SHARE, EPOCHS, SEED)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, for files that a query writes and reads back."""
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
@@ -104,14 +98,14 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transfo
 FROM p JOIN f ON f.x = p.x AND f.n = strlen(h)"""
 )
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = folder(spark, "warc")
+    where = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), where)
     return warc.read_archives(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query()
 def op6_binary_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = folder(spark, "ids")
+    where = scratch_path(spark, "ids")
     binary_ids.write_ids(table(spark, sf_dir, "documents"), where, BYTE_BPE, end_id=2)
     docs = binary_ids.read_ids(spark, where).select("doc_id", "part", "file", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     starts = binary_ids.file_starts(spark, where)
@@ -171,7 +165,8 @@ def _shares(level: int, table_: str) -> str:
 
 @query(
     rf"""WITH d AS (SELECT doc_id, lang, source, {DOMAIN} AS l1, coalesce(lang, '') AS l2, coalesce(source, '') AS l3,
-  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n FROM documents),
 leaf AS (SELECT l1, l2, l3, sum(n)::HUGEINT AS size FROM d GROUP BY ALL),
 b0 AS (SELECT floor(sum(size) * {SHARE})::HUGEINT AS b FROM leaf),
 b1 AS ({_shares(1, "b0")}), b2 AS ({_shares(2, "b1")}), b3 AS ({_shares(3, "b2")}),
