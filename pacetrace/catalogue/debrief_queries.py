@@ -112,12 +112,6 @@ def _(spark, sf):
     return st.suggested_changes(d.clean_phases, d.priorities, d.representative, d.reference_channels, d.rear)
 
 
-@query("next_targets", "G10", C + "target_no rank ~recurring_loss_s measure caveat")
-def _(spark, sf):
-    d = full(spark, sf)
-    return st.next_targets(d.priorities, d.representative, d.reference_channels, d.rear)
-
-
 cte("c_win_refs", """SELECT s.session_id, -1 AS segment_index, c.*, p.entry_m, coalesce(p.a, c.apex_s_m) AS apex_m, p.exit_m, coalesce(p.g, c.s_end_m) AS straight_end_m, 'r' AS window_source
   FROM (SELECT DISTINCT session_id FROM c_clean) s CROSS JOIN c_cb c LEFT JOIN (SELECT session_id, corner_id, median(reference_phase_distance_m) FILTER (phase = 'entry') AS entry_m, median(reference_apex_distance_m) AS a,
     median(reference_phase_distance_m) FILTER (phase LIKE 'exit%') AS exit_m, max(gain_end_distance_m) AS g FROM c_phases GROUP BY ALL) p ON p.session_id = s.session_id AND p.corner_id = c.corner_id""")
@@ -126,6 +120,25 @@ cte("c_refchan", """SELECT w.session_id, w.corner_id, (SELECT arg_min(gear, (abs
   (SELECT arg_min(path_lateral_m, (abs(lap_distance_m - w.apex_m), frame_id)) FROM c_seg JOIN c_ref ON session_id = ref_session_id AND segment_index = ref_segment_index WHERE abs(lap_distance_m - w.apex_m) <= 5) AS ref_lateral FROM c_win_refs w""")
 
 
+def _nth(c):
+    return f"{c} || CASE WHEN {c} % 100 BETWEEN 10 AND 20 THEN 'th' WHEN {c} % 10 = 1 THEN 'st' WHEN {c} % 10 = 2 THEN 'nd' WHEN {c} % 10 = 3 THEN 'rd' ELSE 'th' END"
+
+
+@query("next_targets", "G10", C + "target_no rank ~recurring_loss_s measure caveat",
+       f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank)::INT AS target_no FROM c_prio WHERE rank = 1 OR recurring_loss_s >= 0.1e0),
+       j AS (SELECT t.*, g.gear_at_apex AS g, r.ref_gear AS rg, s.state, s.threshold_deg, s.value_deg, s.brake_overlap,
+         CASE phase WHEN 'entry' THEN 'at the braking point' WHEN 'exit_brake' THEN 'at the brake release' WHEN 'exit_throttle' THEN 'onto the straight' WHEN 'exit' THEN 'onto the straight' ELSE 'at the apex' END AS place
+         FROM t LEFT JOIN c_rep g USING (session_id, corner_id) LEFT JOIN c_refchan r USING (session_id, corner_id) LEFT JOIN c_stab s USING (session_id, corner_id) WHERE target_no <= 3),
+       m AS (SELECT *, concat_ws('; ', CASE WHEN driver_value < reference_value THEN printf('%.1f km/h %s, against %.1f today', reference_value, place, driver_value) END,
+         CASE WHEN g > 0 AND rg > 0 AND g <> rg THEN {_nth("rg")} || ' gear at the apex, against ' || {_nth("g")} || ' today' END) AS usual FROM j)
+       SELECT session_id, corner_id, target_no, rank, recurring_loss_s, CASE WHEN state = 'measured_instability' THEN printf('peak rear slip under %.1f deg at the apex%s, against %.1f deg today, while matching the reference brake point',
+         threshold_deg, CASE WHEN brake_overlap THEN ' with the brake applied' ELSE '' END, value_deg) WHEN usual <> '' THEN usual ELSE printf('no more than %.3f s lost here', recurring_loss_s) END AS measure,
+       CASE state WHEN 'measured_instability' THEN 'stabilise the rear first' WHEN 'unknown' THEN 'rear stability was not measurable: a controlled test' ELSE '' END AS caveat FROM m""")
+def _(spark, sf):
+    d = full(spark, sf)
+    return st.next_targets(d.priorities, d.representative, d.reference_channels, d.rear)
+
+
 @query("corner_table", "G11", C + "~min_speed ~ref_min_speed gear_at_apex ref_gear ~line_offset_m rank",
        """SELECT session_id, corner_id, ms AS min_speed, rs AS ref_min_speed, gear_at_apex, ref_gear, lateral_at_apex_m - ref_lateral AS line_offset_m, rank FROM c_rep LEFT JOIN (SELECT session_id, corner_id, avg(driver_value) AS ms, avg(reference_value) AS rs
        FROM c_cph WHERE phase = 'minimum_speed' GROUP BY ALL) USING (session_id, corner_id) LEFT JOIN c_refchan USING (session_id, corner_id) LEFT JOIN (SELECT session_id, corner_id, rank FROM c_prio) USING (session_id, corner_id)""")
