@@ -6,6 +6,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.storage import materialise
+
+FILTER_BITS = 1 << 22
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -16,6 +22,28 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose id may be in ``ids(id)``, and rows whose id surely is not: cheap pruning ahead of a join.
+
+    The filter is a bitmap of ``FILTER_BITS`` hashed ids, 64 to a row, made by a native aggregate; it has at most
+    ``FILTER_BITS / 64`` rows whatever the data, so it is broadcast.  Where very many ids fill it, it merely prunes less.
+    """
+
+    def word(c: Column) -> Column:
+        return F.shiftright(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)), 6)
+
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+
+    own = free_name(rows.columns, "word")
+    bits = free_name([*rows.columns, own], "bits")
+    some = materialise(ids.groupBy(word(F.col("id")).alias(own)).agg(F.bit_or(bit(F.col("id"))).alias(bits)))
+    key = F.col(id_col).cast("long")
+    met = rows.withColumn(own, word(key)).join(F.broadcast(some), own, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))
+    return met.filter(hit).select(*(met[c] for c in rows.columns)), met.filter(~hit).select(*(met[c] for c in rows.columns))
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """One table per run of equal non-null integer ``keys``; holds one batch and the run at hand."""
     held: list[pa.RecordBatch] = []

@@ -151,6 +151,16 @@ def test_passages_that_repeat_are_found_and_cut(spark):
     assert passages.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_a_passage_whose_words_lie_at_both_ends_of_the_other_text(spark):
+    g = np.random.default_rng(12)
+    head, tail = words(g, 40), words(g, 40)
+    rows = [(1, " ".join([*head, *words(g, 2000), *tail])), (2, " ".join([*head, *tail])), (3, " ".join([*tail, *head, *tail]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.first_doc_id) for r in passages.repeated_passages(docs).collect()}
+    assert (3, 2) in found and (2, 1) not in found
+    assert len(passages._near(np.arange(2000).astype(U64), np.array([0, 1, 2, 1997, 1998, 1999]))) == 3
+
+
 def brute_mix(rows, weights, budget, epochs, seed):
     leaves = collections.defaultdict(list)
     for i, path, n in rows:
