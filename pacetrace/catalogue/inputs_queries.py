@@ -160,11 +160,8 @@ def catalogue(spark, sf):
     # One object per bounded slice of the catalogue, so no single document holds an unbounded list.
     docs = s.groupBy(F.floor(F.col("s_suppkey") / 1000).alias("slice")).agg(
         F.concat(F.lit("{"), F.concat_ws(",", F.collect_list(pair)), F.lit("}")).alias("value"))
-    docs.select("value").write.text(out, lineSep="\n")
-    text = spark.read.text(out)
-    entries = text.select(F.explode(F.from_json("value", dc.VEHICLE_SCHEMA)).alias("vehicle_name", "e"))
-    return entries.filter(~F.col("vehicle_name").startswith("_")).select(
-        "vehicle_name", "e.brand", "e.model", "e.car_class", F.col("e.slug").alias("canonical"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(out, lineSep="\n")
+    return dc.read_vehicle_catalogue(spark, out)
 
 
 cte("c_cat", """SELECT vehicle_name, canonical, replace(lower(replace(vehicle_name, '#', '')), ' ', '-') AS car_slug FROM (SELECT s_name || CASE WHEN s_suppkey % 10 = 3 THEN ' b' ELSE '' END AS vehicle_name,
@@ -191,12 +188,8 @@ def _(spark, sf):
     lines = f.select("session_id", "segment_index", "frame_id", line.alias("value")).unionByName(head)
     lines.repartition("session_id", "segment_index").sortWithinPartitions("session_id", "segment_index", "frame_id").select(
         F.concat_ws("_", "session_id", "segment_index").alias("f"), "value").write.partitionBy("f").text(out)
-    t = spark.read.text(out).select("f", F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v"))
-    cols = F.split("v", ",")
-    rows = t.filter((F.col("v") != "") & ~F.col("v").startswith("#")).select(
-        "f", "line", F.get(cols, F.lit(0)).try_cast("double").alias("distance_m"), F.get(cols, F.lit(1)).try_cast("double").alias("lap_time_s"))
-    d = dc.delta_best_speed(rows.filter("distance_m IS NOT NULL AND lap_time_s IS NOT NULL"), ["f"], "line")
-    return d.withColumn("session_id", F.split("f", "_")[0])
+    d = dc.read_delta_best(spark, out)
+    return d.withColumn("session_id", F.regexp_extract("file_path", "/f=([^/_]+)_", 1))
 
 
 @query("annotation_check", "S8", "corner_pos errors",

@@ -7,15 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CORNER_FIELDS = (
-    "id string, name string, short_name string, s_start_m double, apex_s_m double, s_end_m double, apex_side string, "
-    "target_throttle_pct double"
-)
-TRACK_MODEL_SCHEMA = (
-    "schema_version string, track_id string, layout_id string, lap_length_m double, "
-    f"corners array<struct<{CORNER_FIELDS.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>, "
-    "straight_zones array<struct<id:string,s_start_m:double,s_end_m:double>>"
-)
+TRACK_MODEL_SCHEMA = """schema_version string, track_id string, layout_id string, lap_length_m double,
+corners array<struct<id: string, name: string, short_name: string, s_start_m: double, apex_s_m: double, s_end_m: double,
+  apex_side: string, target_throttle_pct: double>>,
+straight_zones array<struct<id: string, s_start_m: double, s_end_m: double>>"""
 VEHICLE_SCHEMA = "map<string,struct<brand:string,model:string,car_class:string,slug:string>>"
 MIN_DELTA_ROWS = 10
 
@@ -81,15 +76,14 @@ def read_vehicle_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_delta_best(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Delta-best files as samples with a derived, smoothed speed; files with under ten valid rows give none.
 
-    Row order is the file's own, which Spark keeps through the increasing id inside one file split, so the
-    files are read whole-split (they are a few thousand short lines).
+    A file is one lap of a few thousand short lines and is read whole, so that its lines keep their order.
     """
-    t = spark.read.text(paths, lineSep="\n").select(
-        F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v"))
+    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    t = files.select("file_path", F.posexplode(F.split("value", "\\r?\\n")).alias("line", "v")).withColumn("v", F.trim("v"))
     cols = F.split("v", ",")
     rows = t.filter((F.col("v") != "") & ~F.col("v").startswith("#")).select(
-        "file_name", "line", F.get(cols, F.lit(0)).try_cast("double").alias("distance_m"), F.get(cols, F.lit(1)).try_cast("double").alias("lap_time_s"))
-    return delta_best_speed(rows.filter("distance_m IS NOT NULL AND lap_time_s IS NOT NULL"), ["file_name"], "line")
+        "file_path", "line", F.get(cols, F.lit(0)).try_cast("double").alias("distance_m"), F.get(cols, F.lit(1)).try_cast("double").alias("lap_time_s"))
+    return delta_best_speed(rows.filter("distance_m IS NOT NULL AND lap_time_s IS NOT NULL"), ["file_path"], "line")
 
 
 def delta_best_speed(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
