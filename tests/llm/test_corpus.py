@@ -161,6 +161,38 @@ def test_a_passage_whose_words_lie_at_both_ends_of_the_other_text(spark):
     assert len(passages._near(np.arange(2000).astype(U64), np.array([0, 1, 2, 1997, 1998, 1999]))) == 3
 
 
+def verified_pairs(spark, monkeypatch, a, b):
+    """Passages of the text ``a`` (id 2) that ``b`` (id 1) has, with the pair given."""
+    pair = spark.createDataFrame([(2, 1, 15)], "a long, b long, hashes long")
+    monkeypatch.setattr(passages, "candidate_pairs", lambda docs, min_words: pair)
+    docs = spark.createDataFrame([(1, " ".join(b)), (2, " ".join(a))], "doc_id long, text string")
+    return sorted((r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect())
+
+
+def test_a_phrase_of_the_passage_stands_before_it_too(spark, monkeypatch):
+    g = np.random.default_rng(21)
+    shared = words(g, 60)
+    for gap in (15, 30, 85):
+        b = [*words(g, 20), *shared[20:25], *words(g, gap), *shared, *words(g, 40)]
+        assert verified_pairs(spark, monkeypatch, [*words(g, 30), *shared, *words(g, 30)], b) == [(30, 90)], gap
+    b = [*words(g, 20), *shared[:20], *words(g, 50), *shared, *words(g, 40)]  # a third of it, before it
+    assert verified_pairs(spark, monkeypatch, [*words(g, 30), *shared, *words(g, 30)], b) == [(30, 90)]
+
+
+def test_passages_of_different_places_stand_side_by_side(spark, monkeypatch):
+    g = np.random.default_rng(22)
+    one, two = words(g, 60), words(g, 55)
+    b = [*words(g, 20), *two, *words(g, 300), *one[50:], *two[:4], *words(g, 20), *one, *words(g, 30)]
+    found = verified_pairs(spark, monkeypatch, [*words(g, 10), *one, *two, *words(g, 10)], b)
+    held = {i for s, e in found for i in range(s, e)}
+    assert set(range(10, 125)) <= held and len(held) <= 119
+    b = [*one, *words(g, 60), *two]  # one run in a, two parts in b
+    found = verified_pairs(spark, monkeypatch, [*one, *two], b)
+    assert {i for s, e in found for i in range(s, e)} == set(range(115))
+    items = mix(np.arange(300).astype(U64))
+    assert passages._verbatim(items, np.concatenate([items[100:170], items[:60]]), np.ones(300, bool), 46, []) == [(0, 59), (100, 169)]
+
+
 def brute_mix(rows, weights, budget, epochs, seed):
     leaves = collections.defaultdict(list)
     for i, path, n in rows:
