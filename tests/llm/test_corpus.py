@@ -161,6 +161,15 @@ def test_a_passage_whose_words_lie_at_both_ends_of_the_other_text(spark):
     assert len(passages._near(np.arange(2000).astype(U64), np.array([0, 1, 2, 1997, 1998, 1999]))) == 3
 
 
+def test_a_window_that_meets_over_too_short_a_span_is_not_settled():
+    span, context = (lambda n: n << 32 | n), 5 << 32 | 6
+    rows = np.array([(8, 1, 50, span(20), context), (8, 2, 90, span(60), context), (8, 3, 70, span(60), context)])
+    pairs, settled = passages._pairs_of(rows, 46)
+    assert not len(pairs) and not settled.any()
+    pairs, settled = passages._pairs_of(rows[1:], 46)
+    assert pairs[:, :2].tolist() == [[3, 2]] and settled.tolist() == [False, True]
+
+
 def verified_pairs(spark, monkeypatch, a, b):
     """Passages of the text ``a`` (id 2) that ``b`` (id 1) has, with the pair given."""
     pair = spark.createDataFrame([(2, 1, 15)], "a long, b long, hashes long")
