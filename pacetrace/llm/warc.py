@@ -174,6 +174,23 @@ def _rows(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.typeName()]) for c, f in zip(cols, schema)], names=schema.names)
 
 
+def inflated(data: bytes) -> bytes:
+    """The content of all members of a compressed file, one after the other; zeros after a member are padding."""
+    at, view, out = 0, memoryview(data), []
+    while at < len(view):
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("a compressed archive ends inside a member")
+            piece = view[at : at + 65_536]
+            out.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        while at < len(view) and not view[at]:
+            at += 1
+    return b"".join(out)
+
+
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and with ``payloads`` the ``payload``.
 
@@ -188,7 +205,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         for b in batches:
             for packed, path in zip(b.column(0), b.column(1)):
                 data, out = packed.as_buffer().to_pybytes(), []
-                data = zlib.decompress(data, 47) if path.as_py().endswith(".gz") else data
+                data = inflated(data) if path.as_py().endswith(".gz") else data
                 for fields, block in parse(data):
                     if fields.get("warc-block-digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
                         raise ValueError(f"block digest of {fields['warc-record-id']} differs")

@@ -62,6 +62,18 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert kinds["continuation"] > 10 and kinds["response"] + kinds["revisit"] == len(PAGES)
 
 
+def test_warc_reads_every_member_of_a_compressed_archive(spark, tmp_path):
+    bodies = [b"one", b"", bytes(range(256)) * 900]
+    records = [r for i, b in enumerate(bodies) for r in warc.page_records(f"<urn:page:{i}:x:1>", "u", b, warc.digest(b), None)]
+    packed = [gzip.compress(r + warc.END) for r in records]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.warc.gz").write_bytes(b"".join(packed) + b"\0" * 9)
+    got = {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "m")).collect()}
+    assert got == dict(enumerate(bodies))
+    with pytest.raises(ValueError, match="inside a member"):
+        warc.inflated(b"".join(packed)[:-3])
+
+
 def test_warc_finds_damage(spark, tmp_path):
     where = folder(tmp_path)
     records = warc.page_records("<urn:page:1:x:1>", "u", b"y" * 500, warc.digest(b"y" * 500), None, 100)
