@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import scratch_path
-from . import binary_ids, mixing, packing, passages, quality, warc
+from . import binary_ids, conversations, mixing, packing, passages, quality, warc
 from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
 from .token_counts import token_counts
@@ -181,6 +181,45 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "epoch", "n_tokens")
 
 
+_CRC32 = """(SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS t)"""
+
+
+@query(
+    rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS f FROM conversations, {_CRC32}),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS k FROM c WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i, left(role, 1) AS l,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, k) > 1 AS again,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM d),
+r AS (SELECT *, solid = '' AS blank, solid <> '' AND again AS dup, solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS trunc,
+  l || lag(l) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('us', 'au', 'ua')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+m(state, ins, lines, mid) AS (VALUES (0, '', '', 0), (0, 'I', chr(10) || 'user:', 2), (0, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3),
+  (1, '', '', 1), (1, 'I', chr(10) || 'user:', 2), (1, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3),
+  (3, '', '', 3), (3, 'I', chr(10) || 'user:', 2), (3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3),
+  (2, '', '', 2), (2, 'I', chr(10) || 'assistant:', 3), (2, 'II', chr(10) || 'assistant:' || chr(10) || 'user:', 2)),
+s AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS body FROM n
+  UNION ALL SELECT conv_id, i, state, cost, audit, body FROM (
+    SELECT s.conv_id, r.i, CASE e WHEN 'D' THEN mid WHEN 'R' THEN CASE mid WHEN 2 THEN 3 ELSE 2 END ELSE CASE l WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+      cost + 3 * length(ins) + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN trunc AND e <> 'D' THEN 3 ELSE 0 END AS cost, audit || ins || e AS audit,
+      body || lines || CASE e WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || CASE mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || text ELSE chr(10) || role || ':' || text END AS body
+    FROM s JOIN m USING (state) JOIN r ON r.i = s.i + 1 AND r.conv_id IS NOT DISTINCT FROM s.conv_id, (VALUES ('D'), ('K'), ('R')) AS x(e)
+    WHERE e = 'D' OR NOT (blank OR dup) AND (e = 'R' OR l = 's' AND mid = 0 OR l = 'u' AND mid IN (0, 1, 3) OR l = 'a' AND mid = 2))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+b AS (SELECT s.conv_id, cost + 3 * length(ins) AS cost, audit || ins AS audit, sha256(substr(body || lines, 2)) AS h FROM s JOIN m USING (state)
+  JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.n = s.i WHERE mid IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY cost + 3 * length(ins), audit || ins) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id"""
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
