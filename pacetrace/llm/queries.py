@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import scratch_path
-from . import binary_ids, conversations, mixing, packing, passages, quality, warc
+from . import binary_ids, clusters, conversations, mixing, packing, passages, quality, warc
 from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
 from .token_counts import token_counts
@@ -220,6 +220,30 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """SQL of Lloyd's rounds, one pair of common tables each."""
+    nearest = """SELECT vec_id, any_value(x) AS x, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS distance FROM
+  (SELECT v.n, v.vec_id, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {m} m) GROUP BY n, vec_id"""
+    out = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x AS m FROM v ORDER BY sha256('3:' || vec_id), x LIMIT 8)",
+    ]
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED ({nearest.format(m=f'm{r}')})")
+        out.append(f"""m{r + 1} AS MATERIALIZED (SELECT c, coalesce(u.m, o.m) AS m FROM m{r} o LEFT JOIN
+  (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM (SELECT c, i, sum(y) AS s, count(*) AS n FROM
+    (SELECT c, unnest(x) AS y, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) u USING (c))""")
+    return f"""WITH {', '.join(out)}, z AS MATERIALIZED ({nearest.format(m=f'm{rounds}')})
+SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM z JOIN m{rounds} USING (c)"""
+
+
+@query(_lloyd_sql(10))
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
