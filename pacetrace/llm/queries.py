@@ -12,6 +12,7 @@ from ..functions.storage import scratch_path
 from . import binary_ids, clusters, conversations, mixing, packing, passages, quality, warc
 from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
+from .nearest import nearest
 from .token_counts import token_counts
 from .top_k import top_k
 
@@ -244,6 +245,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(*clusters.cluster(table(spark, sf_dir, "embeddings")))
 
 
+@query()
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
