@@ -47,7 +47,7 @@ def _pieces(vectors: DataFrame, dims: int, block_dims: int) -> DataFrame:
 
 
 def _matrix(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(n, -1)
+    return np.frombuffer(data, np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
 
 
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
