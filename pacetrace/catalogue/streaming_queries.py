@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import scratch_path
+from ..functions.storage import materialise, scratch_path
 from ..operators import resolve as rs
 from ..operators import segments as sg
-from ..sources.frames import TRACK_ID
+from ..plans import compare as cp
+from ..sources.frames import LAP_LENGTH_M, TRACK_ID
 from ..streaming import detectors as dt
-from ..streaming import jobs
+from ..streaming import jobs, live
+from ..streaming import shards as sh
 from . import base
+from .grid_queries import paired
 from .registry import cte, query
 
 EVENT = "source_id frame_id event lap_number ~lap_time_s frame_count"
@@ -35,16 +38,31 @@ def _(spark, sf):
 
 
 SLICES, FILES = 3, 4
+#: Frames may come so much later than their turn: what the slices below can disorder.
+DELAY = "1000 seconds"
 
 
-def stream_of(spark, frames, cols):
-    """The frames as a file stream: time slices that arrive one after the other, each of ``FILES`` files and a micro-batch."""
+def frame_ts():
+    return F.timestamp_micros(F.round(F.col("session_time_s") * 1e6).cast("long"))
+
+
+def stream_of(spark, frames, cols, shuffled=False, tick_s=7200):
+    """The frames as a file stream: time slices that arrive one after the other, each of ``FILES`` files and a micro-batch.
+
+    With ``shuffled`` a frame may come up to a slice early or late.  The last slice is a tick, long after all frames, as a
+    recorder sends them when its sources are silent.
+    """
     out = scratch_path(spark, "stream")
-    ordered = frames.select(*cols)
-    lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id") + 1).first()  # two numbers
+    ordered = frames.withColumn("frame_ts", frame_ts()).select(*cols, "frame_ts")
+    lo, hi, end = frames.agg(F.min("session_time_s"), F.max("session_time_s"), F.max("session_time_s") + tick_s).first()  # three numbers
+    part = (F.col("session_time_s") - lo) / (hi - lo) * SLICES
+    if shuffled:
+        part = part + F.pmod(F.xxhash64("frame_id", "source_id"), F.lit(1000)) / 1000 * 0.8 - 0.4
+    dealt = ordered.withColumn("slice", F.least(F.greatest(F.floor(part), F.lit(0)), F.lit(SLICES - 1)))
     for i in range(SLICES):
-        a, b = (lo + (hi - lo) * k / SLICES for k in (i, i + 1))
-        ordered.filter((F.col("frame_id") >= a) & (F.col("frame_id") < b)).repartition(FILES).write.mode("append").parquet(out)
+        dealt.filter(F.col("slice") == i).drop("slice").repartition(FILES).write.mode("append").parquet(out)
+    tick = {"source_id": F.lit(""), "frame_ts": F.timestamp_micros(F.lit(int(end * 1e6)))}
+    spark.range(FILES).select(*(tick.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ordered.schema)).repartition(FILES).write.mode("append").parquet(out)
     return spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", FILES).parquet(out)
 
 
@@ -57,13 +75,26 @@ def drain(spark, stream):
     batches = sum(p["numInputRows"] > 0 for p in q.recentProgress)
     if batches < SLICES:
         raise RuntimeError(f"the stream ran in {batches} micro-batches, not in {SLICES}")
+    if jobs.late_rows_dropped(q):
+        raise RuntimeError("frames came later than the watermark allows")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 @query("session_rotation_stream", "X1", "source_id session_no frame_id vehicle_name", "SELECT * FROM c_rot WHERE is_start")
 def _(spark, sf):
-    cols = ["source_id", "frame_id", "arrival_s", "session_time_s", "track_name", "vehicle_name"]
-    return drain(spark, dt.rotation_stream(stream_of(spark, live_frames(spark, sf), cols)))
+    starts = live.rotation_stream(stream_of(spark, live_frames(spark, sf), ROTATION_COLS, shuffled=True), delay=DELAY)
+    return drain(spark, starts.filter("event = 'started'"))
+
+
+ROTATION_COLS = ["source_id", "frame_id", "arrival_s", "session_time_s", "track_name", "vehicle_name"]
+
+
+@query("session_end_stream", "X1 X9", "source_id session_no frame_id vehicle_name reason",
+       """SELECT source_id, session_no, frame_id, vehicle_name, CASE WHEN na IS NULL OR na - arrival_s >= 5 THEN 'idle' WHEN nv <> vehicle_name THEN 'changed' ELSE 'restarted' END AS reason
+       FROM (SELECT *, lead(arrival_s) OVER w AS na, lead(vehicle_name) OVER w AS nv, lead(is_start) OVER w AS ns FROM c_rot WINDOW w AS (PARTITION BY source_id ORDER BY frame_id)) WHERE coalesce(ns, TRUE)""")
+def _(spark, sf):
+    ends = live.rotation_stream(stream_of(spark, live_frames(spark, sf), ROTATION_COLS, shuffled=True), delay=DELAY)
+    return drain(spark, ends.filter("event = 'closed'"))
 
 
 cte("c_levent", """WITH m AS (SELECT session_id, segment_index, min(frame_id) AS st, count(*) AS n, arg_max(lap_time_s, frame_id) AS lt, any_value(lap_number) AS lap FROM c_seg GROUP BY ALL),
@@ -86,7 +117,7 @@ LIVE_COLS = ["source_id", "frame_id", "track_name", "lap_number", "lap_time_s",
 
 @query("lap_event_stream", "X2", EVENT, "SELECT * FROM c_levent")
 def _(spark, sf):
-    return drain(spark, dt.lap_event_stream(stream_of(spark, one_track(spark, sf), LIVE_COLS)))
+    return drain(spark, live.lap_event_stream(stream_of(spark, one_track(spark, sf), LIVE_COLS, shuffled=True), delay=DELAY))
 
 
 def placed(spark, sf):
@@ -115,7 +146,7 @@ def _(spark, sf):
 @query("corner_exit_stream", "X3", "source_id frame_id lap_number exited_corner ~exit_distance_m", EXITS)
 def _(spark, sf):
     cols = ["source_id", "frame_id", "lap_number", "lap_distance_m", "session_time_s", "corner_id", "corner_end_m"]
-    return drain(spark, dt.corner_exit_stream(stream_of(spark, placed(spark, sf), cols)))
+    return drain(spark, live.corner_exit_stream(stream_of(spark, placed(spark, sf), cols, shuffled=True), delay=DELAY))
 
 
 @query("estimated_distance", "X4", "source_id frame_id is_anchor ~estimated_m",
@@ -136,21 +167,61 @@ def _(spark, sf):
        """SELECT session_id, segment_index, count(*) AS frames, max(lap_time_s) AS max_lap_time_s, max(speed_kph) AS top_speed_kph FROM c_seg JOIN (SELECT session_id, segment_index FROM (
        SELECT session_id, segment_index, lap_number, lead(lap_number) OVER (PARTITION BY session_id ORDER BY segment_index) AS nl FROM c_meas) WHERE nl > lap_number) USING (session_id, segment_index) GROUP BY ALL""")
 def _(spark, sf):
-    root = scratch_path(spark, "live")
-    cols = [*LIVE_COLS, "session_id", "speed_kph"]
-    frames = stream_of(spark, one_track(spark, sf), cols)
-    jobs.start_session_sink(frames, f"{root}/frames", f"{root}/c1", None).awaitTermination()
-
-    def analyse(laps):
-        return laps.groupBy(*sg.LAP).agg(
+    def analyse(frames, laps):
+        return frames.groupBy(*sg.LAP).agg(
             F.count(F.lit(1)).alias("frames"), F.max("lap_time_s").alias("max_lap_time_s"), F.max("speed_kph").alias("top_speed_kph"))
 
-    handler = jobs.completed_lap_handler(analyse, f"{root}/frames", f"{root}/facts")
-    dt.lap_event_stream(frames).writeStream.foreachBatch(handler).option("checkpointLocation", f"{root}/c2").trigger(
-        availableNow=True).start().awaitTermination()
+    return live_laps(spark, one_track(spark, sf), [*LIVE_COLS, "speed_kph"], analyse)
+
+
+def live_laps(spark, frames, cols, analyse):
+    """Laps as they complete: one job commits shards of the frames, one logs lap events, and the third takes both and analyses
+    each lap once its frames are committed.  All run until the stream of frames is used up."""
+    root = scratch_path(spark, "live")
+    stream = stream_of(spark, frames, cols, shuffled=True)
+    shards = live.shard_stream(stream, delay=DELAY)
+    sh.start_shard_sink(shards, f"{root}/frames", f"{root}/c1", None).awaitTermination()
+    events = live.lap_event_stream(stream, delay=DELAY)
+    log = events.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/c0")
+    log.trigger(availableNow=True).start().awaitTermination()
+    logged = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+    laps = jobs.laps_to_analyse(logged, sh.flush_notices(spark, f"{root}/frames"))
+    handler = jobs.completed_lap_handler(analyse, f"{root}/frames", shards.schema, f"{root}/facts")
+    # Timers of the machine's clock ask for batches without end; here the streams end, so batches without rows are left out.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        done = laps.writeStream.foreachBatch(handler).option("checkpointLocation", f"{root}/c2").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    done.awaitTermination()
     return spark.read.parquet(f"{root}/facts")
 
 
+@query("completed_lap_comparison", "X5 A22", "session_id segment_index corner_id phase ~loss_s ~driver_value ~reference_value confidence",
+       """SELECT f.* FROM c_facts f JOIN (SELECT session_id, segment_index FROM (SELECT session_id, segment_index, lap_number, lead(lap_number) OVER (PARTITION BY session_id ORDER BY segment_index) AS nl FROM c_meas) WHERE nl > lap_number) USING (session_id, segment_index)""")
+def _(spark, sf):
+    f, inventory, refs = paired(spark, sf)
+    refs = materialise(refs)
+    lap = [F.col("session_id") == F.col("ref_session_id"), F.col("segment_index") == F.col("ref_segment_index")]
+    columns = [*sg.LAP, "frame_id", "lap_number", "lap_time_s", "lap_distance_m", "speed_kph", "throttle_norm", "brake_norm", "session_time_s"]
+    ref_frames = materialise(f.join(refs, lap, "left_semi").select(columns))  # what a driver has on file: the reference laps
+    corners = base.corners(spark, sf)
+
+    def analyse(frames, laps):
+        """Every lap of the batch against the reference of its track; reference laps come along from their file."""
+        far = frames.groupBy(*sg.LAP).agg(F.max("lap_distance_m").alias("max_distance_m"))
+        own = laps.select(*sg.LAP, F.lit(TRACK_ID).alias("track_id"), F.col("lap_time_s").alias("duration_s")).join(far, sg.LAP)
+        on_file = refs.select(F.col("ref_session_id").alias("session_id"), F.col("ref_segment_index").alias("segment_index"), "track_id",
+                              F.col("ref_duration_s").alias("duration_s"), F.col("ref_max_m").alias("max_distance_m"))
+        here = own.join(on_file.select(*sg.LAP), sg.LAP, "left_anti").unionByName(on_file)
+        drive = frames.select(columns).join(on_file.select(*sg.LAP), sg.LAP, "left_anti").unionByName(ref_frames)
+        return cp.compare_laps(drive, here, refs, corners, LAP_LENGTH_M)[1].join(own.select(*sg.LAP), sg.LAP, "left_semi")
+
+    facts = live_laps(spark, one_track(spark, sf), [*LIVE_COLS, "lap_distance_m", "speed_kph", "throttle_norm", "brake_norm"], analyse)
+    # A live lap is compared whatever its later status; the SQL knows the facts of eligible laps.
+    return facts.join(inventory.filter("status = 'eligible'").select(*sg.LAP), sg.LAP, "left_semi")
+
+
 @query("fuel_by_lap", "X6", "session_id segment_index laps_completed ~end_l ~per_lap_l ~laps_left fuel_status",
        """WITH g AS (SELECT session_id, segment_index, any_value(lap_number) AS lap, arg_min(fuel_l, frame_id) AS f0, arg_max(fuel_l, frame_id) AS end_l FROM c_seg GROUP BY ALL),
        h AS (SELECT *, first_value(f0) OVER w AS s, (SELECT count(DISTINCT k.lap) FROM g k WHERE k.session_id = g.session_id AND k.segment_index <= g.segment_index) AS laps_completed FROM g WINDOW w AS (PARTITION BY session_id ORDER BY segment_index)),
@@ -160,6 +231,17 @@ def _(spark, sf):
     return dt.fuel_by_lap(base.seg_frames(spark, sf))
 
 
+@query("live_fuel_stream", "X6", "session_id segment_index laps_completed ~end_l ~per_lap_l ~laps_left fuel_status session_code race_laps_left", """WITH g AS (SELECT session_id, segment_index, any_value(lap_number) AS lap,
+         arg_min(fuel_l, frame_id) AS f0, arg_max(fuel_l, frame_id) AS end_l, any_value(session_type) AS session_code FROM c_seg GROUP BY ALL),
+       h AS (SELECT *, first_value(f0) OVER w AS s, max(lap) OVER w AS mx, (SELECT count(DISTINCT k.lap) FROM g k WHERE k.session_id = g.session_id AND k.segment_index <= g.segment_index) AS laps_completed FROM g WINDOW w AS (PARTITION BY session_id ORDER BY segment_index)),
+       i AS (SELECT *, CASE WHEN s - end_l > 0 THEN (s - end_l)/laps_completed END AS per_lap_l FROM h), j AS (SELECT *, end_l/per_lap_l AS laps_left FROM i)
+       SELECT *, greatest(0, 20 - mx)::INT AS race_laps_left, CASE WHEN laps_left IS NULL THEN 'UNKNOWN' WHEN laps_left < 2 THEN 'CRITICAL' WHEN laps_left <= 5 THEN 'WARNING' ELSE 'OK' END AS fuel_status FROM j""")
+def _(spark, sf):
+    cols = ["source_id", "frame_id", "lap_number", "fuel_l", "fuel_capacity_l", "session_type", "race_laps_total", "session_time_s"]
+    facts = live.fuel_stream(stream_of(spark, one_track(spark, sf), cols, shuffled=True), idle_s=600, delay=DELAY)
+    return drain(spark, facts).withColumnRenamed("source_id", "session_id")
+
+
 @query("event_routing", "X8", "mode source_id frame_id event top_n max_words",
        "SELECT m AS mode, source_id, frame_id, event, 3 AS top_n, 35 AS max_words FROM c_levent, (SELECT unnest(['lap', 'all']) AS m) WHERE event = 'lap_completed'")
 def _(spark, sf):
@@ -177,5 +259,5 @@ def _(spark, sf):
        SELECT * FROM k WHERE e + 7200000000 < (SELECT max(us) FROM g) - 60000000""")
 def _(spark, sf):
     f = one_track(spark, sf).withColumn("arrival_ts", F.timestamp_micros(F.round(F.col("session_time_s") * 864e6).cast("long")))
-    s = stream_of(spark, f, ["source_id", "frame_id", "arrival_ts", "session_time_s"])
+    s = stream_of(spark, f, ["source_id", "frame_id", "arrival_ts", "session_time_s"]).filter("frame_id IS NOT NULL")
     return drain(spark, jobs.sessionise(jobs.with_arrival_watermark(s, delay="1 minute"), "2 hours"))

@@ -1,19 +1,9 @@
-"""Live detection on frame streams, and the same rules as batch plans.
-
-Batch forms use the chunked ordered operators.  Stream forms keep a few scalars of state per source in
-``applyInPandasWithState``; rows of one micro-batch are sorted by ``frame_id`` and only the rows where
-something changes are visited.
-"""
+"""The rules of the live detectors as batch plans over the chunked ordered operators; ``live`` has the streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.ordered import CHUNK_ROWS, run_pieces, scan, tag_runs
 from ..functions.storage import materialise
@@ -44,31 +34,6 @@ def rotate_sessions(frames: DataFrame, idle_s: float = IDLE_S, chunk_rows: int =
     return f.drop("p_track", "p_vehicle", "p_clock", "p_arrival")
 
 
-ROTATION_STATE = "track string, vehicle string, clock double, arrival double, session_no long"
-ROTATION_EVENT = "source_id string, session_no long, frame_id long, track_name string, vehicle_name string"
-
-
-def rotation_stream(frames: DataFrame, idle_s: float = IDLE_S) -> DataFrame:
-    """One row per session start, from a stream of frames."""
-    restart = RESTART_S
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values("frame_id")
-        track, vehicle, clock, arrival, number = state.get if state.exists else (None, None, np.nan, np.nan, 0)
-        t, v = pdf["track_name"].to_numpy(), pdf["vehicle_name"].to_numpy()
-        c, a = pdf["session_time_s"].to_numpy(), pdf["arrival_s"].to_numpy()
-        pt, pv = np.concatenate(([track], t[:-1])), np.concatenate(([vehicle], v[:-1]))
-        pc, pa = np.concatenate(([clock], c[:-1])), np.concatenate(([arrival], a[:-1]))
-        new = (t != pt) | (v != pv) | (c < pc - restart) | (a - pa >= idle_s)
-        out = pdf.loc[new, ["frame_id", "track_name", "vehicle_name"]].copy()
-        out.insert(0, "session_no", number + 1 + np.arange(len(out)))
-        out.insert(0, "source_id", key[0])
-        state.update((t[-1], v[-1], float(c[-1]), float(a[-1]), int(number + new.sum())))
-        yield out
-
-    return frames.groupBy("source_id").applyInPandasWithState(step, ROTATION_EVENT, ROTATION_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # ---------------------------------------------------------------- lap events
 
 def lap_events(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -93,35 +58,6 @@ def lap_events(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return begun.unionByName(done)
 
 
-LAP_STATE = "lap int, track string, count long, last_time double"
-LAP_EVENT = "source_id string, frame_id long, event string, lap_number int, lap_time_s double, frame_count long"
-
-
-def lap_event_stream(frames: DataFrame) -> DataFrame:
-    """The same events from a stream of frames."""
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values("frame_id")
-        lap, track, count, last = state.get if state.exists else (None, None, 0, 0.0)
-        laps, tracks = pdf["lap_number"].to_numpy(), pdf["track_name"].to_numpy()
-        times, ids = pdf["lap_time_s"].to_numpy(), pdf["frame_id"].to_numpy()
-        change = np.ones(len(pdf), dtype=bool)
-        change[1:] = (laps[1:] != laps[:-1]) | (tracks[1:] != tracks[:-1])
-        change[0] = lap is None or laps[0] != lap or tracks[0] != track
-        rows, done = [], 0
-        for i in np.flatnonzero(change):
-            count, last = count + int(i) - done, (times[i - 1] if i else last)
-            if lap is not None and tracks[i] == track and laps[i] > lap:
-                rows.append((key[0], ids[i], "lap_completed", lap, last, count))
-            rows.append((key[0], ids[i], "new_lap", int(laps[i]), None, None))
-            lap, track, count, done = int(laps[i]), tracks[i], 0, int(i)
-        state.update((int(lap), track, int(count + len(pdf) - done), float(times[-1])))
-        out = pd.DataFrame(rows, columns=["source_id", "frame_id", "event", "lap_number", "lap_time_s", "frame_count"])
-        yield out.astype({"frame_id": "int64", "lap_number": "int32", "lap_time_s": "float64", "frame_count": "Int64"})
-
-    return frames.groupBy("source_id").applyInPandasWithState(step, LAP_EVENT, LAP_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # ---------------------------------------------------------------- corner exits
 
 def corner_exits(placed: DataFrame, cooldown_s: float = COOLDOWN_S, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -152,35 +88,6 @@ def corner_exits(placed: DataFrame, cooldown_s: float = COOLDOWN_S, chunk_rows:
     return c.groupBy(*SOURCE, "chain").agg(items.alias("items")).select(*SOURCE, F.explode(keep).alias("x")).select(*SOURCE, "x.*")
 
 
-EXIT_STATE = "corner int, corner_end double, lap int, completed int, last_exit double"
-EXIT_EVENT = "source_id string, frame_id long, lap_number int, session_time_s double, exited_corner int, exit_distance_m double"
-
-
-def corner_exit_stream(placed: DataFrame, cooldown_s: float = COOLDOWN_S) -> DataFrame:
-    """The same exits from a stream of placed frames (corner −1 stands for none)."""
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values("frame_id")
-        corner0, end0, lap0, completed0, last = state.get if state.exists else (-1, np.nan, None, 0, -1e18)
-        cid = pdf["corner_id"].fillna(-1).to_numpy().astype("int64")
-        end, lap = pdf["corner_end_m"].to_numpy(dtype="float64"), pdf["lap_number"].to_numpy()
-        d, t = pdf["lap_distance_m"].to_numpy(), pdf["session_time_s"].to_numpy()
-        p_c, p_e = np.concatenate(([corner0], cid[:-1])), np.concatenate(([end0], end[:-1]))
-        p_l = np.concatenate(([lap[0] if lap0 is None else lap0], lap[:-1]))
-        completed = completed0 + np.cumsum(lap > p_l)
-        hit = (completed >= 1) & (lap == p_l) & (p_c >= 0) & ((cid < 0) | ((cid != p_c) & (d >= p_e)))
-        rows = []
-        for i in np.flatnonzero(hit):
-            if t[i] - last >= cooldown_s:
-                last = float(t[i])
-                rows.append((key[0], pdf["frame_id"].iat[i], lap[i], t[i], p_c[i], d[i] if cid[i] < 0 else p_e[i]))
-        state.update((int(cid[-1]), float(end[-1]), int(lap[-1]), int(completed[-1]), float(last)))
-        out = pd.DataFrame(rows, columns=["source_id", "frame_id", "lap_number", "session_time_s", "exited_corner", "exit_distance_m"])
-        yield out.astype({"frame_id": "int64", "lap_number": "int32", "session_time_s": "float64", "exited_corner": "int32", "exit_distance_m": "float64"})
-
-    return placed.groupBy("source_id").applyInPandasWithState(step, EXIT_EVENT, EXIT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # ---------------------------------------------------------------- dead reckoning, fuel, routing
 
 def estimated_distance(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -1,18 +1,22 @@
-"""Streaming jobs: watermarks, the session sink and the analysis of completed laps."""
+"""Streaming jobs: watermarks, the session sink and the comparison of completed laps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.storage import materialise
-from ..operators import segments as sg
-from ..operators.segments import LAP
+from .ordered import ROCKSDB, STORE
+from .shards import read_shards
 
 FLUSH = "30 seconds"
+#: A completed lap whose frames are not all written after so long is analysed with those that are.
+WAIT_MS = 10_000
 
 
 def with_arrival_watermark(frames: DataFrame, arrival: str = "arrival_ts", delay: str = "10 seconds") -> DataFrame:
@@ -32,46 +36,83 @@ def sessionise(frames: DataFrame, idle: str = "5 seconds", arrival: str = "arriv
         "source_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "frames", "first_frame", "last_frame")
 
 
-def start_session_sink(frames: DataFrame, path: str, checkpoint: str, every: str | None = FLUSH) -> StreamingQuery:
-    """Append frames to Parquet by session; ``every=None`` drains what is there and stops."""
-    writer = frames.writeStream.format("parquet").outputMode("append").partitionBy("session_id").option(
-        "path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+READY = "session_id string, segment_index int, lap_number int, track_name string, lap_time_s double, start_frame long, next_start long, complete boolean"
+
+
+class _Pending(StatefulProcessor):
+    """Completed laps of a source that wait for their frames to be written, and how far the source is written."""
+
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.written = handle.getValueState("written", "flushed_to long")
+        self.laps = handle.getMapState("laps", "next_start long", "segment_index int, lap_number int, track_name string, lap_time_s double, start_frame long, due long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+        to = self.written.get()[0] if self.written.exists() else -1
+        for pdf in rows:
+            flushed = pdf["flushed_to"].dropna()
+            to = max(to, int(flushed.max())) if len(flushed) else to
+            for r in pdf[pdf["next_start"].notna()].itertuples():
+                lap_time = None if pd.isna(r.lap_time_s) else float(r.lap_time_s)
+                self.laps.updateValue((int(r.next_start),), (int(r.segment_index), int(r.lap_number), r.track_name, lap_time, int(r.start_frame), due))
+                self.handle.registerTimer(due)
+        if to >= 0:
+            self.written.update((to,))
+        yield from self._take(key, lambda next_start, _: next_start - 1 <= to, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._take(key, lambda _, due: due <= now, False)
+
+    def _take(self, key, ready: Callable[[int, int], bool], complete: bool) -> Iterator[pd.DataFrame]:
+        out = []
+        for (next_start,), lap in list(self.laps.iterator()):
+            if ready(next_start, lap[5]):
+                self.laps.removeKey((next_start,))
+                out.append((key[0], *lap[:5], next_start, complete))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in READY.split(", ")])
+
+
+def laps_to_analyse(lap_events: DataFrame, notices: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
+    """Two streams, lap events and flush notices, as one of laps that can be read: as soon as all their frames are written,
+    or ``wait_ms`` after their event with ``complete`` false.  Either clock moves on without another event of the source."""
+    lap_events.sparkSession.conf.set(STORE, ROCKSDB)
+    done = lap_events.filter("event = 'lap_completed'").select(
+        "source_id", F.col("frame_id").alias("next_start"), "segment_index", "lap_number", "track_name", "lap_time_s", "start_frame",
+        F.lit(None).cast("long").alias("flushed_to"))
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema}
+    told = notices.select(*(F.col(c) if c in ("source_id", "flushed_to") else none[c] for c in done.columns))
+    return done.unionByName(told).groupBy("source_id").transformWithStateInPandas(_Pending(wait_ms), READY, "Append", "ProcessingTime")
 
 
 def completed_lap_handler(
-    analyse: Callable[[DataFrame], DataFrame], frames_path: str, out: str
+    analyse: Callable[[DataFrame, DataFrame], DataFrame], root: str, schema: StructType, out: str
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` handler: analyse the laps completed in a batch from the written frames.
+    """``foreachBatch`` handler: ``analyse(frames, laps)`` of the laps of a batch, from the frames of a shard sink.
 
-    Only the sessions of the batch are read, which are partitions of the sink.  A lap whose frames the sink has not all
-    written yet, by the frame count of its event, stays pending and is tried again with the next batch; ``pending_laps``
-    reads what is left.  Each batch overwrites its own folders, so a replayed batch gives the same result once.
+    The batch's sources become a filter on partitions and its frame range one on row groups, so only their shards are read,
+    and each frame gets the segment of its lap from the event.  Each batch overwrites its own folder, so a replayed batch
+    gives the same result once.
     """
 
-    def handle(events: DataFrame, batch_id: int) -> None:
-        spark = events.sparkSession
-        done = events.filter("event = 'lap_completed'").select(
-            F.col("source_id").alias("session_id"), F.col("frame_id").alias("next_start"), F.col("frame_count").alias("expected"))
-        if batch_id > 0:
-            done = done.unionByName(pending_laps(spark, out, batch_id - 1))
-        done = materialise(done)
-        frames = spark.read.parquet(frames_path).join(done.select("session_id").distinct(), "session_id", "left_semi")
-        frames = sg.with_segments(frames)
-        # The completed lap is the segment that ends right before the event's frame.
-        ends = frames.groupBy(*LAP).agg(F.min("frame_id").alias("start_frame"), F.count(F.lit(1)).alias("rows"))
-        before = ends.select("session_id", (F.col("segment_index") + 1).cast("int").alias("segment_index"), "rows")
-        nxt = ends.select(*LAP, F.col("start_frame").alias("next_start")).join(before, LAP)
-        found = done.join(nxt, ["session_id", "next_start"], "left").withColumn("segment_index", F.col("segment_index") - 1)
-        found = materialise(found.withColumn("ready", F.coalesce(F.col("rows") >= F.col("expected"), F.lit(False))))
-        wanted = found.filter("ready").select(*LAP)
-        analyse(frames.join(wanted, LAP, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        left = found.filter("NOT ready").select("session_id", "next_start", "expected")
-        left.write.mode("overwrite").parquet(f"{out}-pending/batch_id={batch_id}")
+    def handle(laps: DataFrame, batch_id: int) -> None:
+        spark = laps.sparkSession
+        laps = materialise(laps)
+        lo, hi, sources = laps.agg(F.min("start_frame"), F.max("next_start"), F.collect_set("session_id")).first()  # of one batch's laps
+        if sources:
+            frames = read_shards(spark, root, schema).filter(
+                F.col("source_id").isin(sources) & (F.col("frame_id") >= lo) & (F.col("frame_id") < hi))
+            span = laps.select("session_id", "segment_index", "start_frame", "next_start")
+            inside = (F.col("source_id") == F.col("session_id")) & (F.col("frame_id") >= F.col("start_frame")) & (F.col("frame_id") < F.col("next_start"))
+            met = frames.drop("session_id").join(span, inside).drop("start_frame", "next_start")
+            analyse(met, laps).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return handle
-
-
-def pending_laps(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
-    """Completed laps that a batch could not analyse, since their frames were not all written."""
-    return spark.read.schema("session_id string, next_start long, expected long").parquet(f"{out}-pending/batch_id={batch_id}")
