@@ -50,9 +50,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this session has written to the scratch folder; results that still read it can't be used any more."""
+def scratch_mark(spark: SparkSession) -> int:
+    """How many paths this session has taken below the scratch folder so far."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what this session has written to the scratch folder after the mark ``since``, but for the paths ``keep``.
+
+    Results that still read what is deleted can't be used any more.
+    """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:]:
+        if path not in keep:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    paths[since:] = [p for p in paths[since:] if p in keep]
