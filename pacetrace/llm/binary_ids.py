@@ -27,6 +27,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .ans import decode_block, decoding_tables, encode_block, shared_table
 from .pretokens import encoder
+from .workers import tidy
 
 MAGIC = b"PTIDS001"
 FILE_IDS = 4 << 20
@@ -89,6 +90,7 @@ def write_ids(
     schema = StructType([StructField("image", BinaryType())])
     tail = [] if end_id is None else [end_id]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, number = encoder(path), TaskContext.get().partitionId(), 0
         names: list[int | None] = []

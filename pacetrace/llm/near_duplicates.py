@@ -46,6 +46,13 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return (mix(values) >> U64(48)).astype(np.uint16)
 
 
+def _set_hashes(items: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set of shingles."""
+    if not len(items):
+        return 0, 0
+    return int(mix(items + U64(7)).sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(mix(items ^ U64(0x5BD1E995))).view(np.int64))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, bins: int = BANDS * ROWS) -> DataFrame:
     """``id, n, s1, s2, sketch``: the number of distinct shingles, two hashes of the set, and its sketch (null when empty)."""
     schema = StructType(
@@ -58,8 +65,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, bins:
             for _, found, _ in text_shingles(b.column(1), size):
                 items = np.unique(found)
                 n.append(len(items))
-                s1.append(int(mix(items + U64(7)).sum(dtype=U64).view(np.int64)))
-                s2.append(int(np.bitwise_xor.reduce(mix(items ^ U64(0x5BD1E995))).view(np.int64)) if len(items) else 0)
+                one, two = _set_hashes(items)
+                s1.append(one)
+                s2.append(two)
                 sk.append(_narrow(sketch(items, bins)).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sk, pa.binary())],
@@ -70,15 +78,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, bins:
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``id, items``: the sorted distinct shingle hashes of ``docs(id, t)``."""
-    schema = StructType([StructField("id", LongType()), StructField("items", BinaryType())])
+    """``s1, s2, n, items``: the sorted distinct shingle hashes of ``docs(t)``, with what names the set."""
+    schema = StructType([*(StructField(c, LongType()) for c in ("s1", "s2", "n")), StructField("items", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(found) for _, found, _ in text_shingles(b.column(1), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), binary_of(sets)], names=["id", "items"])
+            sets = [np.unique(found) for _, found, _ in text_shingles(b.column(0), size)]
+            named = np.array([(*_set_hashes(x), len(x)) for x in sets], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(named[:, k]) for k in range(3)), binary_of(sets)], names=["s1", "s2", "n", "items"])
 
-    return docs.select("id", "t").mapInArrow(run, schema)
+    return docs.select("t").mapInArrow(run, schema)
 
 
 def _alike(a: Column, b: Column, num: int, den: int) -> Column:
@@ -178,17 +187,16 @@ def near_duplicates(
     component are never formed, so a group of near copies costs about a pair per member.
 
     Null or empty text, and text of white space only: no shingles, linked with nothing.  A null id: ``component_id`` null and
-    kept.  Rows that repeat an id are one document: where their texts differ, the one whose set has the smallest hash is
-    linked, and all get its component.  Extra columns are ignored.
+    kept.  Rows that repeat an id are one document: it is linked with all that any of its texts is linked with, and each row
+    has the size of its own set.  Extra columns are ignored; the order and dealing of rows changes nothing.
     """
     sig = materialise(signatures(docs, id_col, text_col, size, bands * rows))
     keys = ["s1", "s2", "n"]
     named = sig.filter("n > 0 and id is not null")
-    several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high"))
-    several = materialise(several.filter("low <> high").select("id", "low"))
-    named = named.join(several, "id", "left").filter(F.col("low").isNull() | (F.col("low") == F.struct("s1", "s2"))).drop("low")
+    # From here on, a node is a class of equal sets, and ``id`` its number; ``first`` is one document that has it.
     reps = materialise(
-        named.groupBy(*keys).agg(F.min(F.struct("id", "sketch")).alias("r")).select(*keys, "r.id", "r.sketch")
+        named.groupBy(*keys).agg(F.min(F.struct("id", "sketch")).alias("r"))
+        .select(*keys, F.col("r.id").alias("first"), "r.sketch", F.monotonically_increasing_id().alias("id"))
     )
     width = 2 * rows
     band = F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(sketch, b * {width} + 1, {width})))")
@@ -198,8 +206,10 @@ def near_duplicates(
 
     # Sets of the documents that share a bucket: everything that verification can ask for.
     busy = materialise(members.groupBy("id").agg(F.sum("c").alias("busy")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    sets = materialise(shingle_sets(texts.join(busy.select("id"), "id"), size).dropDuplicates(["id"]))
+    asked = materialise(reps.join(busy, "id").select("id", *keys, "first"))
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).cast("string").alias("t"))
+    found = shingle_sets(texts.join(asked.select("first").distinct(), "first"), size)
+    sets = materialise(found.join(asked.select("id", *keys), keys).select("id", "items").dropDuplicates(["id"]))
 
     # Round 1: the busiest member of a bucket is its hub; each document meets the busiest of its hubs.
     hub = materialise(
@@ -221,12 +231,14 @@ def near_duplicates(
         more = materialise(verified(_cross_pairs(left, num, den, best, bands, rows), sets, num, den))
         links = links.unionByName(more)
 
-    # Every document has the component of the first document of its class of equal sets.
-    label = components(links)
-    rep_of = materialise(named.select("id", *keys).distinct().join(reps.select(*keys, F.col("id").alias("rep")), keys).select("id", "rep"))
-    of_id = materialise(
-        rep_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    )
+    # A document ties the classes of its texts together; then every component has its smallest document.
+    node_of = materialise(named.select("id", *keys).distinct().join(reps.select(*keys, F.col("id").alias("node")), keys).select("id", "node"))
+    several = node_of.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
+    ties = node_of.join(several, "id").select("a", F.col("node").alias("b")).filter("a <> b")
+    label = components(links.unionByName(ties))
+    placed = materialise(node_of.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("group")).distinct())
+    lowest = placed.groupBy("group").agg(F.min("id").alias("component"))
+    of_id = placed.join(materialise(lowest), "group").select("id", "component")
     out = sig.select("id", "n").join(of_id, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(

@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions.storage import materialise
 from .pretokens import encoder
+from .workers import tidy
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -74,6 +75,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, cap
     ])
     tail = [] if end_id is None else [end_id]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:

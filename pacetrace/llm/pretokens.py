@@ -203,8 +203,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts from a tokenizer file; one per worker and file."""
 
-    MAX_WORDS = 1 << 20
-    MAX_LONG = 1 << 15
+    #: What the cache may hold when a run of texts begins; then it starts anew.
+    MAX_BYTES = 16 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -222,6 +222,11 @@ class Encoder:
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.count, self.words = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def held(self) -> int:
+        """Bytes of the cache."""
+        return self.long_bytes + sum(x.nbytes for x in (self.table.keys, self.table.value, self.pool, self.begin, self.count))
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, one after another, and the number of ids of each."""
@@ -245,7 +250,7 @@ class Encoder:
 
     def numbers(self, data: np.ndarray, at: np.ndarray, length: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
         """Number in this cache of each pre-token, learning those not met before."""
-        if self.words > self.MAX_WORDS or len(self.long) > self.MAX_LONG:
+        if self.held() > self.MAX_BYTES:
             self._clear()
         out = np.empty(len(at), np.int64)
         short = length <= KEY_BYTES
@@ -268,6 +273,7 @@ class Encoder:
                 number = self._learn([word.decode()])
                 if len(word) <= 4096:
                     self.long[word] = number
+                    self.long_bytes += len(word) + 200  # with the entry itself
             out[i] = number
         return out
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .groups import free_name
 from .pretokens import KEY_BYTES, WordTable, distinct, encoder, word_keys
+from .workers import tidy
 from .textops import chunks, utf8
 
 TABLE_WORDS = 1 << 14
@@ -84,6 +85,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", into: str =
     schema = StructType([*docs.select(*(docs[c] for c in kept)).schema.fields, StructField(into, LongType(), False)])
     place = len(kept)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tier, enc = shared.value, encoder(path)
         for b in batches:

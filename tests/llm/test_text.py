@@ -65,7 +65,7 @@ def test_ids_are_the_librarys(name):
 
 def test_cache_starts_anew_when_full():
     enc = Encoder(public_tokenizers.path(FILES[0]))
-    enc.MAX_WORDS = 3
+    enc.MAX_BYTES = 3
     lib = enc.tokenizer
     for t in ("one two three four five", "six seven", "one two nine", "a" * 40 + " " + "b" * 40):
         (_, ids, _), = enc.texts(pa.array([t]))
