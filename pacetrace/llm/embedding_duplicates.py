@@ -12,10 +12,10 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from ..functions.storage import materialise
 from .components import components
-from .groups import binary_of, sorted_runs
+from .groups import fixed_binary, sorted_runs
 
 SLACK = 1e-6
-BLOCK = 4096
+BLOCK = 16384
 
 
 def usable(vec: Column) -> Column:
@@ -48,6 +48,20 @@ class Subspaces:
     def turned(self, x: np.ndarray) -> np.ndarray:
         return (x / np.linalg.norm(x, axis=1)[:, None]) @ self.turn
 
+    def owner(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The block of which each pair of rows uses least; the first of equal ones.  Summed component by component, so that a
+        pair has the same owner in whatever company it is met."""
+        best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for b in self.blocks():
+            use = np.zeros(len(x))
+            for j in range(self.cuts[b], self.cuts[b + 1]):
+                apart = x[:, j].astype(np.float64) - y[:, j]
+                use += apart * apart
+            use /= self.budget[b]
+            at[use < best] = b
+            best = np.minimum(best, use)
+        return at
+
     def cells(self, turned: np.ndarray, b: int) -> np.ndarray:
         """Two grid coordinates of each vector in block ``b``; cells are as wide as the block's radius."""
         first = turned[:, self.cuts[b] : self.cuts[b] + 2]
@@ -62,18 +76,39 @@ def _matrix(values: pa.Array, dims: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _turned(vectors: DataFrame, space: Subspaces, dims: int) -> DataFrame:
+    """``id, copies, vec, turned``: with the rotated unit vector in single precision.
+
+    A product of matrices can round a row differently in another place or company, so it is taken once and for all; cells,
+    distances inside blocks and the block that counts a pair all go by these bits.
+    """
+    schema = StructType([StructField("id", LongType()), StructField("copies", LongType()), StructField("vec", BinaryType()), StructField("turned", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            raw = t.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            turned = space.turned(raw.astype(np.float64)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), fixed_binary(raw), fixed_binary(turned)], names=schema.names)
+
+    return vectors.select("id", "copies", "vec").mapInArrow(run, schema)
+
+
+def _rows(column: pa.Array | pa.ChunkedArray, dtype: np.dtype, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dims)
+
+
 def _cell_counts(vectors: DataFrame, space: Subspaces, dims: int) -> dict[tuple[int, int, int], int]:
     """Vectors per (block, cell).  Coordinates of unit vectors bound the cells to (2 / radius + 2)**2 a block."""
     schema = StructType([StructField(c, LongType()) for c in ("b", "x", "y", "c")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            turned = space.turned(_matrix(t.column(0), dims))
+            turned = _rows(t.column(0), np.float32, dims).astype(np.float64)
             for b in space.blocks():
                 at, c = np.unique(space.cells(turned, b), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), b)), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(c)], names=["b", "x", "y", "c"])
 
-    rows = vectors.select("vec").mapInArrow(run, schema).groupBy("b", "x", "y").agg(F.sum("c").alias("c")).collect()
+    rows = vectors.select("turned").mapInArrow(run, schema).groupBy("b", "x", "y").agg(F.sum("c").alias("c")).collect()
     return {(r.b, r.x, r.y): r.c for r in rows}
 
 
@@ -88,13 +123,12 @@ def _deal(vectors: DataFrame, space: Subspaces, dims: int) -> DataFrame:
     parts = {c: -(-counts[c] // BLOCK) for c in cells}
     schema = StructType([
         StructField("cell", IntegerType()), StructField("other", IntegerType()), StructField("i", IntegerType()), StructField("j", IntegerType()),
-        StructField("right", IntegerType()), StructField("id", LongType()), StructField("copies", LongType()), StructField("vec", BinaryType()),
+        StructField("right", IntegerType()), StructField("id", LongType()), StructField("copies", LongType()), StructField("vec", BinaryType()), StructField("turned", BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ids, copies, x = t.column(0).to_numpy(), t.column(1).to_numpy(), _matrix(t.column(2), dims)
-            turned, raw = space.turned(x), [v.tobytes() for v in t.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)]
+            ids, turned = t.column(0).to_numpy(), _rows(t.column(3), np.float32, dims).astype(np.float64)
             out = []
             for b in space.blocks():
                 for row, (p, q) in enumerate(space.cells(turned, b).tolist()):
@@ -110,13 +144,10 @@ def _deal(vectors: DataFrame, space: Subspaces, dims: int) -> DataFrame:
                             out += [(number[before], k, o, mine, 1, row) for o in range(parts[before])]
             for a in range(0, len(out), 20_000):
                 c, o, i, j, r, row = zip(*out[a : a + 20_000])
-                row = np.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, pa.int32()) for v in (c, o, i, j, r)), pa.array(ids[row]), pa.array(copies[row]), pa.array([raw[v] for v in row], pa.binary())],
-                    names=schema.names,
-                )
+                whose = t.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in (c, o, i, j, r)), *whose.columns], names=schema.names)
 
-    return vectors.select("id", "copies", "vec").mapInArrow(run, schema), {number[c]: c[0] for c in cells}
+    return vectors.select("id", "copies", "vec", "turned").mapInArrow(run, schema), {number[c]: c[0] for c in cells}
 
 
 def _forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +176,10 @@ def _links(dealt: DataFrame, block_of: dict[int, int], space: Subspaces, dims: i
             b = block_of[t.column("cell")[0].as_py()]
             ids, copies, right = (t.column(c).to_numpy() for c in ("id", "copies", "right"))
             twin = t.column("cell")[0] == t.column("other")[0] and t.column("i")[0] == t.column("j")[0]
-            x = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype).reshape(-1, dims).astype(np.float64)
+            x = _rows(t.column("vec"), dtype, dims).astype(np.float64)
             norm = np.linalg.norm(x, axis=1)
-            turned = space.turned(x)
-            part = turned[:, space.cuts[b] : space.cuts[b + 1]].astype(np.float32)
+            turned = _rows(t.column("turned"), np.float32, dims)
+            part = turned[:, space.cuts[b] : space.cuts[b + 1]]
             square = (part * part).sum(axis=1)
             left, far = (np.arange(len(ids)),) * 2 if twin else (np.flatnonzero(right == 0), np.flatnonzero(right == 1))
             found_x, found_y = [], []
@@ -166,9 +197,8 @@ def _links(dealt: DataFrame, block_of: dict[int, int], space: Subspaces, dims: i
                     u, v = u[ok], v[ok]
                     if len(u) and len(space.budget) > 1:
                         # A pair close in several blocks counts in the one where it uses least of its budget.
-                        apart = (turned[u] - turned[v]) ** 2
-                        use = np.column_stack([apart[:, space.cuts[k] : space.cuts[k + 1]].sum(axis=1) / space.budget[k] for k in space.blocks()])
-                        u, v = u[use.argmin(axis=1) == b], v[use.argmin(axis=1) == b]
+                        owner = space.owner(turned[u], turned[v])
+                        u, v = u[owner == b], v[owner == b]
                     found_x.append(u)
                     found_y.append(v)
             u, v = np.concatenate(found_x or [np.zeros(0, int)]), np.concatenate(found_y or [np.zeros(0, int)])
@@ -214,7 +244,7 @@ def embedding_duplicates(
     for (dims,) in sorted(width.select("d").collect()):  # one pass for each length that vectors have
         space = Subspaces(dims, cosine, min(block_dims, dims))
         same = classes.filter(F.size("vec") == dims).select(F.col("rep").alias("id"), "copies", F.col("vec") if dtype == np.float32 else F.col("vec").cast("array<double>").alias("vec"))
-        dealt, block_of = _deal(same, space, dims)
+        dealt, block_of = _deal(materialise(_turned(same, space, dims)), space, dims)
         part = materialise(_links(dealt, block_of, space, dims, cosine, dtype))
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -85,3 +85,25 @@ def test_empty_and_unusable_vectors(spark):
     assert ed.embedding_duplicates(frame(spark, [])).collect() == []
     got = ed.embedding_duplicates(frame(spark, [(3, None), (4, [0.0, 0.0]), (None, [1.0, 0.0])]))
     assert sorted((tuple(r) for r in got.collect()), key=str) == [(3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)]
+
+
+@pytest.mark.parametrize("part", [3, 16, 61, 200])
+def test_scaled_copies_are_counted_once_in_groups_of_any_size(spark, monkeypatch, part):
+    monkeypatch.setattr(ed, "BLOCK", part)
+    g = np.random.default_rng(11)
+    rows = []
+    for i in range(60):  # (x, 2x, 3x): apart by rounding alone, in every block
+        v = g.standard_normal(16)
+        rows += [(3 * i + k, ((1 + k) * v).tolist()) for k in range(3)]
+    got = ed.embedding_duplicates(frame(spark, rows, "double"), block_dims=4)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_links(rows, 0.9)
+
+
+def test_owner_of_a_pair_does_not_depend_on_its_company():
+    g = np.random.default_rng(12)
+    space = ed.Subspaces(64, 0.9, 16)
+    x = space.turned(g.standard_normal((300, 64))).astype(np.float32)
+    y = np.nextafter(x, np.float32(1)) * np.where(g.random(x.shape) < 0.5, 1, np.float32(1 + 1e-7)).astype(np.float32)
+    whole = space.owner(x, y)
+    assert [int(space.owner(y[i : i + 1], x[i : i + 1])[0]) for i in range(300)] == whole.tolist()
+    assert space.owner(x[5:250:7], y[5:250:7]).tolist() == whole[5:250:7].tolist()
