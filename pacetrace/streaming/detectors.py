@@ -61,31 +61,37 @@ def lap_events(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 # ---------------------------------------------------------------- corner exits
 
 def corner_exits(placed: DataFrame, cooldown_s: float = COOLDOWN_S, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Corner exits per source after its first completed lap, at most one per cooldown.
+    """Corner exits per source after its first completed lap on a track, at most one per cooldown.
 
-    ``placed``: frames of one track per source with corner_id and corner_end_m of the corner they are in.
-    Exits closer than the cooldown form chains; a chain starts after a quiet gap, so chains are independent.
+    ``placed``: frames with corner_id and corner_end_m of the corner they are in, and track_name where a source may change
+    its track, on which everything starts anew.  Exits closer than the cooldown form chains; a chain starts after a quiet
+    gap, so chains are independent.
     """
-    f = scan(placed, SOURCE, "frame_id", chunk_rows=chunk_rows, prev={
+    by = SOURCE
+    if "track_name" in placed.columns:
+        by = [*SOURCE, "track_run"]
+        pieces = materialise(run_pieces(placed, SOURCE, "frame_id", "track_name", chunk_rows=chunk_rows))
+        placed = tag_runs(placed, pieces, SOURCE, "frame_id", {"run_index": "track_run"}, chunk_rows)
+    f = scan(placed, by, "frame_id", chunk_rows=chunk_rows, prev={
         "p_corner": "corner_id", "p_end": "corner_end_m", "p_lap": "lap_number"})
     ahead = F.col("lap_number") > F.col("p_lap")
     # Exits count from the first completed lap on: one frame number per source.
-    first_done = f.groupBy(*SOURCE).agg(F.min(F.when(ahead, F.col("frame_id"))).alias("first_done"))
-    f = f.join(first_done, SOURCE)
+    first_done = f.groupBy(*by).agg(F.min(F.when(ahead, F.col("frame_id"))).alias("first_done"))
+    f = f.join(first_done, by)
     same_lap = F.col("lap_number") == F.col("p_lap")
     left = F.col("corner_id").isNull() | ((F.col("corner_id") != F.col("p_corner")) & (F.col("lap_distance_m") >= F.col("p_end")))
     c = f.filter((F.col("frame_id") >= F.col("first_done")) & same_lap & F.col("p_corner").isNotNull() & left).select(
-        *SOURCE, "frame_id", "lap_number", "session_time_s", F.col("p_corner").alias("exited_corner"),
+        *by, "frame_id", "lap_number", "session_time_s", F.col("p_corner").alias("exited_corner"),
         F.when(F.col("corner_id").isNull(), F.col("lap_distance_m")).otherwise(F.col("p_end")).alias("exit_distance_m"))
     c = materialise(c)  # a few rows per lap
-    c = scan(c, SOURCE, "frame_id", chunk_rows=chunk_rows, prev={"p_time": "session_time_s"})
+    c = scan(c, by, "frame_id", chunk_rows=chunk_rows, prev={"p_time": "session_time_s"})
     fresh = F.coalesce(F.col("session_time_s") - F.col("p_time") >= cooldown_s, F.lit(True))
-    c = scan(c, SOURCE, "frame_id", chunk_rows=chunk_rows, sums={"chain": fresh.cast("int")})
+    c = scan(c, by, "frame_id", chunk_rows=chunk_rows, sums={"chain": fresh.cast("int")})
     items = F.array_sort(F.collect_list(F.struct("session_time_s", "frame_id", "lap_number", "exited_corner", "exit_distance_m")))
     keep = F.aggregate(
         F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0))), F.slice("items", 1, 1),
         lambda acc, x: F.when(x["session_time_s"] - F.element_at(acc, -1)["session_time_s"] >= cooldown_s, F.concat(acc, F.array(x))).otherwise(acc))
-    return c.groupBy(*SOURCE, "chain").agg(items.alias("items")).select(*SOURCE, F.explode(keep).alias("x")).select(*SOURCE, "x.*")
+    return c.groupBy(*by, "chain").agg(items.alias("items")).select(*SOURCE, F.explode(keep).alias("x")).select(*SOURCE, "x.*")
 
 
 # ---------------------------------------------------------------- dead reckoning, fuel, routing
