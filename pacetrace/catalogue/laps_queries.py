@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import scratch_path
 from ..operators import laps as lp
 from ..operators import segments as sg
+from ..sources import lap_files as lf
+from ..sources import sessions as ss
 from . import base
-from .registry import query
+from .registry import cte, query
 
 K = "session_id segment_index "
 
@@ -30,6 +33,41 @@ def _(spark, sf):
     return sg.durations(sg.segment_measures(f), sg.lap_start_clock(f))
 
 
+# Laps as files of their own: every third with its time in the footer, every second one with a time in its name.
+LAP_FILE = "CASE WHEN segment_index % 2 = 0 THEN 'session_' || session_id || '-' || segment_index || '_time_1.3' || segment_index % 10 || '.5' || segment_index % 7 || '0' ELSE 'session_' || session_id || '-' || segment_index END"
+cte("c_files", f"""SELECT *, {LAP_FILE} AS file, CASE WHEN segment_index % 3 = 0 THEN max_lap_time_s + 0.25e0 END AS recorded_s, CASE WHEN segment_index % 2 = 0 THEN 90 + segment_index % 10 + (5e2 + 1e1*(segment_index % 7))/1e3 END AS named_s FROM c_meas""")
+
+
+def lap_files(spark, sf):
+    """Frames of the lap files, and their footers."""
+    f = base.seg_frames(spark, sf)
+    m = sg.segment_measures(f).select(*sg.LAP, F.when(F.col("segment_index") % 3 == 0, F.col("max_lap_time_s") + 0.25).alias("recorded_s"), F.expr(LAP_FILE).alias("stem"))
+    cols = ["frame_id", "session_time_s", "lap_number", "lap_time_s", "lap_distance_m", "speed_kph", "scoring_last_lap_time_s", "lap_valid"]
+    folder = scratch_path(spark, "laps")
+    named = f.join(m, sg.LAP).withColumn("name", F.concat("stem", F.lit(".parquet")))
+    lf.write_lap_files(named.select(*sg.LAP, *cols, "recorded_s", "name"), folder, sg.LAP, "name", "recorded_s").count()
+    schema = named.select(*cols).drop("frame_id").schema
+    return sg.with_segments(ss.read_sessions(spark, folder, schema)), lf.read_footers(spark, folder)
+
+
+@query("recorded_lap_duration", "L3", K + "~duration_s duration_source",
+       """SELECT file AS session_id, 0 AS segment_index, CASE WHEN recorded_s IS NOT NULL THEN recorded_s WHEN own THEN max_scoring_s ELSE max_lap_time_s END AS duration_s,
+       CASE WHEN recorded_s IS NOT NULL THEN 'explicit' WHEN own THEN 'own_scorer' ELSE 'lap_time' END AS duration_source FROM (SELECT *, coalesce(max_lap_time_s > 0 AND abs(max_scoring_s - max_lap_time_s) <= 1, FALSE) AS own FROM c_files)""")
+def _(spark, sf):
+    f, footers = lap_files(spark, sf)
+    measures = sg.segment_measures(f).join(lf.recorded_times(footers), "session_id", "left")
+    return sg.durations(measures, sg.lap_start_clock(f), same_segment_scoring=True)
+
+
+@query("lap_viewer_file_time", "L16", K + "~duration_s duration_source",
+       """WITH m AS (SELECT session_id, segment_index, max(lap_time_s) AS mt FROM c_seg JOIN (SELECT session_id, segment_index, max(lap_distance_m) AS l FROM c_seg GROUP BY ALL) USING (session_id, segment_index)
+         WHERE NOT (lap_time_s < 0.5e0 AND lap_distance_m > l*0.5e0) GROUP BY ALL)
+       SELECT file AS session_id, 0 AS segment_index, coalesce(named_s, greatest(mt, 0e0)) AS duration_s, CASE WHEN named_s IS NOT NULL THEN 'file_name' ELSE 'lap_time' END AS duration_source FROM c_files JOIN m USING (session_id, segment_index)""")
+def _(spark, sf):
+    f, footers = lap_files(spark, sf)
+    return lp.viewer_flags(f, lf.file_times(footers))
+
+
 @query("sample_rate", "L4", "session_id ~rate_hz", "SELECT * FROM c_rate")
 def _(spark, sf):
     return sg.sample_rate(sg.segment_measures(base.seg_frames(spark, sf)))

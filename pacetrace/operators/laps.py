@@ -151,8 +151,11 @@ def lap_summary(seg_frames: DataFrame) -> DataFrame:
     return s.withColumn("inner_lap", inner).withColumns(shown)
 
 
-def viewer_flags(seg_frames: DataFrame) -> DataFrame:
-    """Partial, rolling-start and fastest flags on rows without stale lap-boundary samples."""
+def viewer_flags(seg_frames: DataFrame, file_times: DataFrame | None = None) -> DataFrame:
+    """Partial, rolling-start and fastest flags on rows without stale lap-boundary samples.
+
+    ``file_times(session_id, file_time_s)``: times in file names; that of a file with one lap wins over both clocks.
+    """
     lengths = seg_frames.groupBy("session_id").agg(F.max("lap_distance_m").alias("track_len"))
     t, d = F.col("lap_time_s"), F.col("lap_distance_m")
     stale = (t < 0.5) & (d > F.col("track_len") * 0.5)
@@ -166,6 +169,10 @@ def viewer_flags(seg_frames: DataFrame) -> DataFrame:
     )
     durs = sg.durations(m, sg.lap_start_clock(seg_frames))
     ws = Window.partitionBy("session_id")
+    if file_times is not None:
+        named = (F.count(F.lit(1)).over(ws) == 1) & F.col("file_time_s").isNotNull()
+        durs = durs.join(file_times, "session_id", "left").withColumn("duration_s", F.when(named, F.col("file_time_s")).otherwise(F.col("duration_s")))
+        durs = durs.withColumn("duration_source", F.when(named, F.lit("file_name")).otherwise(F.col("duration_source"))).drop("file_time_s")
     full = (F.col("max_distance_m") >= F.col("track_len") * 0.95) & (F.abs("min_distance_m") <= 50)
     candidate = full & (F.col("duration_s") > 0)
     by_time = Window.partitionBy("session_id").orderBy(F.when(candidate, F.col("duration_s")).asc_nulls_last())
