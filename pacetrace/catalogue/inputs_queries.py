@@ -9,7 +9,7 @@ from ..functions.storage import materialise, scratch_path
 from ..operators import resolve as rs
 from ..sources import documents as dc
 from ..sources import sessions as ss
-from ..sources.frames import TRACK_ID
+from ..sources.frames import LAP_LENGTH_M, TRACK_ID
 from . import base
 from .registry import cte, query
 
@@ -446,6 +446,42 @@ def _(spark, sf):
     return _placed(spark, sf)
 
 
+# A model with every second corner and two kinds of tracks: one names its straights, the other leaves them to be inferred.
+cte("c_open", "SELECT corner_pos, corner_id, s_start_m, s_end_m, CASE WHEN corner_pos % 4 = 0 THEN s_end_m + 20 END AS z0, CASE WHEN corner_pos % 4 = 0 THEN s_end_m + 20 + 5e0*corner_pos END AS z1 FROM c_corners WHERE corner_pos % 2 = 0")
+
+
+def straight_models(spark, sf):
+    """Documents of both tracks, written as JSON and read back."""
+    out = scratch_path(spark, "straights")
+    c = base.corners(spark, sf).filter("corner_pos % 2 = 0").select(
+        "corner_pos", F.struct(F.col("corner_id").cast("string").alias("id"), F.col("corner_name").alias("name"), "s_start_m", "apex_s_m", "s_end_m", "apex_side").alias("c"),
+        F.when(F.col("corner_pos") % 4 == 0, F.struct(
+            F.concat(F.lit("z"), F.col("corner_id").cast("string")).alias("id"), (F.col("s_end_m") + 20).alias("s_start_m"),
+            (F.col("s_end_m") + 20 + 5e0 * F.col("corner_pos")).alias("s_end_m"))).alias("z"))
+    doc = c.groupBy().agg(F.array_sort(F.collect_list(F.struct("corner_pos", "c"))).alias("cs"), F.collect_list("z").alias("zones"))
+    both = doc.select("*", F.explode(F.array(F.lit("open"), F.lit("bare"))).alias("track_id"))
+    both.select("track_id", F.lit("1").alias("schema_version"), F.lit("main").alias("layout_id"), F.lit(LAP_LENGTH_M).alias("lap_length_m"), F.col("cs.c").alias("corners"),
+                F.when(F.col("track_id") == "open", F.col("zones")).alias("straight_zones"), F.col("track_id").alias("f")).write.partitionBy("f").json(out)  # a file each
+    return dc.read_track_models(spark, f"{out}/f=*/*.json")
+
+
+@query("speech_window_straights", "J7 S5", "session_id frame_id ~next_corner_m safe",
+       """SELECT session_id, frame_id, next_corner_m, inside = 0 AND coalesce(next_corner_m >= 50, TRUE) AND (session_id = 'click' OR on_ > 0) AS safe FROM (
+       SELECT session_id, frame_id, count(*) FILTER (lap_distance_m BETWEEN s_start_m AND s_end_m) AS inside, count(*) FILTER (z0 < z1 AND lap_distance_m BETWEEN z0 AND z1) AS on_,
+       min(s_start_m) FILTER (s_start_m > lap_distance_m) - any_value(lap_distance_m) AS next_corner_m FROM c_frames, c_open GROUP BY ALL)""")
+def _(spark, sf):
+    models = straight_models(spark, sf)
+    buckets = rs.corner_buckets(dc.model_corners(models), dc.model_straights(models))
+    f = base.frames(spark, sf).withColumn("track_id", F.when(F.col("session_id") == "click", "bare").otherwise("open"))
+    return rs.corner_at(f, buckets)
+
+
+@query("track_model_straights", "S5", "track_id straight_id ~s_start_m ~s_end_m",
+       "SELECT 'open' AS track_id, 'z' || corner_id AS straight_id, z0 AS s_start_m, z1 AS s_end_m FROM c_open WHERE z0 < z1")
+def _(spark, sf):
+    return dc.model_straights(straight_models(spark, sf))
+
+
 @query("hold_until_safe", "J8", "session_id frame_id spoken_frame_id",
        """SELECT session_id, frame_id, spoken_frame_id FROM (SELECT *, min(CASE WHEN corner_id IS NULL AND coalesce(next_corner_m >= 45, TRUE) THEN frame_id END) OVER
        (PARTITION BY session_id ORDER BY frame_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS spoken_frame_id FROM c_place) WHERE speed_kph > 250""")

@@ -154,3 +154,14 @@ def _(spark, sf):
        row_number() OVER (PARTITION BY session_id, segment_index, corner_id ORDER BY loss_s DESC, phase_seq) AS rk FROM (SELECT * REPLACE (round(loss_s, 9) AS loss_s) FROM c_facts) WHERE loss_s > 0) WHERE sp AND rk <= 1""")
 def _(spark, sf):
     return ph.exit_alert(facts(spark, sf))
+
+
+@query("corner_exit_alert_window", "A23", C + "phase ~loss_s",
+       """SELECT * FROM (SELECT *, max(CASE WHEN phase = 'minimum_speed' THEN loss_s >= 0.1e0 ELSE loss_s >= 0.05e0 END) OVER (PARTITION BY session_id, segment_index, corner_id) AS sp,
+       row_number() OVER (PARTITION BY session_id, segment_index, corner_id ORDER BY loss_s DESC, phase_seq) AS rk FROM (SELECT * REPLACE (round(loss_s, 9) AS loss_s) FROM c_facts) WHERE loss_s > 0) JOIN
+       (SELECT session_id, segment_index, k.corner_id FROM c_seg JOIN c_corners k ON lap_distance_m <= s_end_m + 150 GROUP BY ALL HAVING count(*) >= 10) USING (session_id, segment_index, corner_id) WHERE sp AND rk <= 3""")
+def _(spark, sf):
+    f, laps, refs = paired(spark, sf)
+    corners = base.corners(spark, sf)
+    found = cp.compare_laps(f, laps.filter("status = 'eligible'"), refs, corners, LAP_LENGTH_M)[1]
+    return ph.exit_alert(found, 3, f, corners)

@@ -253,6 +253,16 @@ def _(spark, sf):
     return out
 
 
+@query("corner_exit_routing", "X8 X3", "mode source_id frame_id event top_n max_words", f"SELECT m AS mode, source_id, frame_id, 'corner_exit' AS event, 1 AS top_n, 20 AS max_words FROM ({EXITS}), (SELECT unnest(['turn', 'all']) AS m)")
+def _(spark, sf):
+    exits = materialise(dt.corner_exits(placed(spark, sf)).withColumn("event", F.lit("corner_exit")))
+    out = None
+    for mode in dt.MODES:
+        part = dt.route(exits, mode).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("idle_sessions_stream", "X9 X1", "source_id frames first_frame last_frame",
        """WITH g AS (SELECT session_id, frame_id, us, CASE WHEN us - lag(us) OVER w < 7200000000 THEN 0 ELSE 1 END AS b FROM (SELECT event_type AS session_id, event_id AS frame_id, us FROM c_raw) WINDOW w AS (PARTITION BY session_id ORDER BY frame_id)),
        h AS (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY frame_id) AS s FROM g), k AS (SELECT session_id AS source_id, s, count(*) AS frames, min(frame_id) AS first_frame, max(frame_id) AS last_frame, max(us) AS e FROM h GROUP BY session_id, s)

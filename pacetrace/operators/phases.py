@@ -317,12 +317,24 @@ def comparison_guard(frames: DataFrame, pairs: DataFrame, lap_length_m: float, r
     return j.withColumn("guard", F.coalesce(status, F.lit("ok")))
 
 
-def exit_alert(facts: DataFrame, top_n: int = 1) -> DataFrame:
+# Fixed values of the exit alert: how far past a corner's end it looks, and the frames it needs up to there.
+EXIT_WINDOW_M = 150.0
+EXIT_FRAMES = 10
+
+
+def exit_alert(facts: DataFrame, top_n: int = 1, frames: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Losses of one corner worth a word right after it.
 
     A corner speaks when any of its phases loses at least 0.1 s (minimum speed) or 0.05 s (others); then its
-    largest losses are kept.
+    largest losses are kept.  With ``frames`` and ``ends(corner_id, s_end_m)`` it also needs ``EXIT_FRAMES`` frames of its lap
+    up to ``EXIT_WINDOW_M`` past its end: the distance of a lap's tenth frame decides for all its corners.
     """
+    if frames is not None:
+        nearest = Window.partitionBy(*LAP).orderBy("lap_distance_m")
+        nth = frames.select(*LAP, "lap_distance_m").withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= EXIT_FRAMES)
+        enough = nth.filter(F.col("n") == EXIT_FRAMES).select(*LAP, F.col("lap_distance_m").alias("enough_m"))
+        window = ends.select("corner_id", (F.col("s_end_m") + EXIT_WINDOW_M).alias("window_m"))
+        facts = facts.join(enough, LAP).join(window, "corner_id").filter("enough_m <= window_m").drop("enough_m", "window_m")
     floor = F.when(F.col("phase") == "minimum_speed", 0.1).otherwise(0.05)
     corner = Window.partitionBy(*LAP, "corner_pos")
     ranked = corner.orderBy(F.desc("loss_s"), "phase_seq")

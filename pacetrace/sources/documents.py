@@ -32,6 +32,12 @@ def model_corners(models: DataFrame) -> DataFrame:
     )
 
 
+def model_straights(models: DataFrame) -> DataFrame:
+    """Straight zones of the documents, one row each; a zone that doesn't start before its end is left to the violations."""
+    z = models.select("track_id", "layout_id", F.explode("straight_zones").alias("z"))
+    return z.select("track_id", "layout_id", F.col("z.id").alias("straight_id"), "z.s_start_m", "z.s_end_m").filter("s_start_m < s_end_m")
+
+
 def model_violations(models: DataFrame) -> DataFrame:
     """Rules a track model breaks: (file_name, item, rule).  An end before its start is a wrap corner, not an error."""
     head = F.array_compact(F.array(
