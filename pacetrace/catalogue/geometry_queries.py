@@ -192,17 +192,76 @@ def lap_grids(spark, sf):
     return materialise(gr.resample(kept(spark, sf), gr.LAP, ["speed_kph", "throttle_norm", "brake_norm"]))
 
 
-@query("corners_from_pedals", "T12", K + "apex_m ~min_speed ~prominence ~s_start_m ~s_end_m")
+def _strongest_first(candidates: str) -> str:
+    """SQL of the greedy choice, one candidate of a lap at a time: kept ones are a list of structs."""
+    near = "list_filter(kept, lambda k: abs(k.apex - c.apex) < 60)"
+    apart = "greatest(k.s0, c.s0) - least(k.s1, c.s1) - 1 >= 3 AND CASE WHEN c.s0 >= k.s0 THEN c.op ELSE k.op END <= least(k.s1, c.s1) + 1"
+    wider = "{'apex': k.apex, 'ms': k.ms, 'pr': k.pr, 's0': least(k.s0, c.s0), 's1': greatest(k.s1, c.s1), 'op': CASE WHEN c.s0 < k.s0 THEN c.op ELSE k.op END}"
+    return f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY session_id, segment_index ORDER BY pr DESC, ms, apex) AS r FROM {candidates}),
+  k AS (SELECT DISTINCT session_id, segment_index, 0::BIGINT AS r, []::STRUCT(apex INT, ms DOUBLE, pr DOUBLE, s0 DOUBLE, s1 DOUBLE, op DOUBLE)[] AS kept FROM c
+    UNION ALL SELECT k.session_id, k.segment_index, c.r, CASE WHEN len({near}) > 0 AND len(list_filter({near}, lambda k: {apart})) = 0
+      THEN list_transform(kept, lambda k: CASE WHEN abs(k.apex - c.apex) < 60 THEN {wider} ELSE k END)
+      ELSE list_append(kept, {{'apex': c.apex, 'ms': c.ms, 'pr': c.pr, 's0': c.s0, 's1': c.s1, 'op': c.op}}) END
+    FROM k JOIN c ON c.session_id = k.session_id AND c.segment_index = k.segment_index AND c.r = k.r + 1)
+  SELECT session_id, segment_index, z.* FROM (SELECT session_id, segment_index, unnest(kept) AS z FROM (SELECT session_id, segment_index, arg_max(kept, r) AS kept FROM k GROUP BY ALL))"""
+
+
+def _separated(zones: str) -> str:
+    return f"""SELECT session_id, segment_index, apex, ms, pr, CASE WHEN pe > s0 THEN least(apex - 1, floor((pa + apex)/2)) ELSE s0 END::DOUBLE AS s0,
+  CASE WHEN s1 > ns THEN greatest(apex + 1, floor((apex + na)/2)) ELSE s1 END::DOUBLE AS s1 FROM (
+  SELECT *, lead(apex) OVER w AS na, lead(s0) OVER w AS ns, lag(apex) OVER w AS pa, lag(s1) OVER w AS pe FROM {zones} WINDOW w AS (PARTITION BY session_id, segment_index ORDER BY apex))"""
+
+
+_W = "PARTITION BY session_id, segment_index ORDER BY s_m"
+cte("c_mgrid", f"SELECT session_id, segment_index, s::INT AS s_m, {lerp('v', 'speed')}, {lerp('th', 'th')}, {lerp('br', 'br')} FROM (SELECT * FROM c_own)")
+cte("c_sp", f"""SELECT *, min(v) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS low, max(v) OVER ({_W} ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING) AS lp,
+  max(v) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND 80 FOLLOWING) AS rp, v >= lag(v) OVER ({_W}) - 1 AS down_ok, v <= lead(v) OVER ({_W}) + 1 AS up_ok FROM (
+  SELECT session_id, segment_index, s_m, round(avg(speed) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS v, count(*) OVER (PARTITION BY session_id, segment_index) AS n FROM c_mgrid)""")
+cte("c_sp_cand", "SELECT session_id, segment_index, s_m AS apex, v AS ms, least(lp - v, rp - v) AS pr, 0e0 AS s0, 0e0 AS s1, 1e9 AS op FROM c_sp WHERE s_m >= 8 AND s_m < n - 8 AND v <= low AND least(lp - v, rp - v) >= 2.5e0")
+cte("c_sp_kept", _strongest_first("c_sp_cand"))
+cte("c_sp_zone", """WITH a AS (SELECT k.*, greatest(0, apex - 120) AS lo, least(last_m, apex + 120) AS hi FROM c_sp_kept k JOIN (SELECT session_id, segment_index, max(n) - 1 AS last_m FROM c_sp GROUP BY ALL) USING (session_id, segment_index)),
+  x AS (SELECT a.*, s_m AS s, down_ok, up_ok, max(s_m) FILTER (s_m < apex AND s_m > lo AND NOT down_ok AND apex - s_m > 12) OVER z AS stop_lo, min(s_m) FILTER (s_m > apex AND s_m < hi AND NOT up_ok AND s_m - apex > 12) OVER z AS stop_hi
+    FROM a JOIN c_sp g ON g.session_id = a.session_id AND g.segment_index = a.segment_index AND s_m BETWEEN lo AND hi WINDOW z AS (PARTITION BY a.session_id, a.segment_index, apex))
+  SELECT session_id, segment_index, apex, any_value(ms) AS ms, any_value(pr) AS pr, least(coalesce(min(s) FILTER (s < apex AND s > lo AND down_ok AND s > coalesce(stop_lo, -1)), any_value(lo)), apex - 1)::DOUBLE AS s0,
+    greatest(coalesce(max(s) FILTER (s > apex AND s < hi AND up_ok AND s < coalesce(stop_hi, 1000000000)), any_value(hi)), apex + 1)::DOUBLE AS s1 FROM x GROUP BY session_id, segment_index, apex""")
+cte("c_pd", f"""SELECT *, br >= 0.15e0 AS bon, th < 0.9e0 AND br < 0.15e0 AS lon, lag(br >= 0.15e0) OVER ({_W}) AS bp, lag(th < 0.9e0 AND br < 0.15e0) OVER ({_W}) AS lpv,
+  max(CASE WHEN br >= 0.15e0 THEN s_m END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_on, max(CASE WHEN br <= 0 THEN s_m END) OVER ({_W}) AS last_free,
+  coalesce(max(CASE WHEN th < 0.95e0 THEN s_m END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS op,
+  coalesce(max(speed) OVER ({_W} ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING), speed) AS lp, coalesce(max(speed) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND 80 FOLLOWING), speed) AS rp FROM c_mgrid""")
+cte("c_pd_zone", f"""WITH b AS (SELECT *, sum(CASE WHEN bon AND NOT coalesce(bp, FALSE) AND (last_on IS NULL OR coalesce(last_free > last_on, FALSE)) THEN 1 ELSE 0 END) OVER ({_W}) AS bz,
+    sum(CASE WHEN lon AND NOT coalesce(lpv, FALSE) THEN 1 ELSE 0 END) OVER ({_W}) AS lz FROM c_pd),
+  u AS (SELECT session_id, segment_index, min(s_m) AS s0, max(s_m) AS s1, 1 AS braked FROM b WHERE bon GROUP BY session_id, segment_index, bz HAVING max(s_m) - min(s_m) >= 5
+    UNION ALL SELECT session_id, segment_index, min(s_m), max(s_m), 0 FROM b WHERE lon GROUP BY session_id, segment_index, lz HAVING max(s_m) - min(s_m) >= 5),
+  q AS (SELECT *, max(s1) OVER (PARTITION BY session_id, segment_index ORDER BY s0, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+  p AS (SELECT *, sum(CASE WHEN coalesce(s0 - reach > 2, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, segment_index ORDER BY s0, s1 ROWS UNBOUNDED PRECEDING) AS zone FROM q)
+  SELECT session_id, segment_index, zone, min(s0) AS z0, max(s1) AS z1, max(braked) AS braked FROM p GROUP BY ALL""")
+cte("c_pd_cand", """SELECT session_id, segment_index, a.s AS apex, a.v AS ms, least(a.l - a.v, a.r - a.v) AS pr, z0::DOUBLE AS s0, z1::DOUBLE AS s1, op::DOUBLE AS op FROM (
+  SELECT z.session_id, z.segment_index, z0, z1, braked, min({'v': speed, 's': s_m, 'l': lp, 'r': rp}) AS a, min(th) AS low, min(op) FILTER (s_m = z0) AS op FROM c_pd_zone z JOIN c_pd g ON g.session_id = z.session_id AND g.segment_index = z.segment_index AND s_m BETWEEN z0 AND z1
+  GROUP BY z.session_id, z.segment_index, zone, z0, z1, braked) WHERE CASE WHEN braked = 1 THEN a.l - a.v >= 10 ELSE a.l - a.v >= 10 OR low <= 0.3e0 OR (low <= 0.5e0 AND a.l - a.v >= 3) END""")
+cte("c_pd_kept", _strongest_first("c_pd_cand"))
+cte("c_pd_sep", _separated("c_pd_kept"))
+cte("c_pedal", """WITH t AS (SELECT *, coalesce(lead(s0) OVER (PARTITION BY session_id, segment_index ORDER BY apex) - 1, last_m) AS top FROM c_pd_sep JOIN (SELECT session_id, segment_index, max(s_m) AS last_m FROM c_mgrid GROUP BY ALL) USING (session_id, segment_index)),
+  e AS (SELECT t.session_id, t.segment_index, apex, any_value(ms) AS ms, any_value(pr) AS pr, any_value(s0) AS s0, coalesce(min(s_m) FILTER (g.th >= 0.9e0), any_value(s1)) AS s1 FROM t LEFT JOIN c_mgrid g ON g.session_id = t.session_id AND g.segment_index = t.segment_index
+    AND s_m BETWEEN s1 + 1 AND top GROUP BY t.session_id, t.segment_index, apex),
+  f AS (SELECT *, coalesce(lag(s1) OVER (PARTITION BY session_id, segment_index ORDER BY apex) + 1, 0) AS lo FROM e)
+  SELECT f.session_id, f.segment_index, apex, any_value(ms) AS ms, any_value(pr) AS pr, CASE WHEN any_value(s0) - 1 < any_value(lo) THEN any_value(s0) ELSE coalesce(max(s_m) FILTER (g.th >= 0.98e0) + 1, any_value(lo)) END AS s0, any_value(s1) AS s1
+  FROM f LEFT JOIN c_mgrid g ON g.session_id = f.session_id AND g.segment_index = f.segment_index AND s_m BETWEEN lo AND s0 - 1 GROUP BY f.session_id, f.segment_index, apex""")
+_CORNER = "SELECT session_id, segment_index, apex AS apex_m, ms AS min_speed, pr AS prominence, s0 AS s_start_m, s1 AS s_end_m FROM "
+
+
+@query("corners_from_pedals", "T12", K + "apex_m ~min_speed ~prominence ~s_start_m ~s_end_m", _CORNER + "c_pedal")
 def _(spark, sf):
     return tm.detect_from_pedals(lap_grids(spark, sf))
 
 
-@query("corners_from_speed", "T13", K + "apex_m ~min_speed ~prominence ~s_start_m ~s_end_m")
+@query("corners_from_speed", "T13", K + "apex_m ~min_speed ~prominence ~s_start_m ~s_end_m", _CORNER + f"({_separated('c_sp_zone')})")
 def _(spark, sf):
     return tm.detect_from_speed(lap_grids(spark, sf))
 
 
-@query("model_assembly", "T16", K + "corner_id corner_name ~s_start_m ~apex_s_m ~s_end_m apex_side")
+@query("model_assembly", "T16", K + "corner_id corner_name ~s_start_m ~apex_s_m ~s_end_m apex_side",
+       """SELECT session_id, segment_index, 't' || i AS corner_id, 'turn ' || i AS corner_name, round(s0, 1) AS s_start_m, apex::DOUBLE AS apex_s_m, round(s1, 1) AS s_end_m, 'right' AS apex_side
+       FROM (SELECT *, row_number() OVER (PARTITION BY session_id, segment_index ORDER BY apex) AS i FROM c_pedal)""")
 def _(spark, sf):
     return tm.assemble_model(tm.detect_from_pedals(lap_grids(spark, sf)))
 

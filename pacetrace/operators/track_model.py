@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +30,6 @@ ZONE_HALF_WIDTH_M = 120
 ZONE_CORE_M = 12
 MAX_MATCH_M = 150.0
 
-CANDIDATE = "session_id string, segment_index int, apex_m int, min_speed double, prominence double, s_start_m double, s_end_m double"
-
 
 def _along():
     """The metres of a lap in order."""
@@ -87,31 +84,39 @@ def merge_close(candidates: DataFrame, grid: DataFrame | None, min_separation_m:
         closed = F.last(F.when(F.col("throttle_norm") < WOT, F.col("s_m")), True).over(_along().rowsBetween(Window.unboundedPreceding, -1))
         o = grid.select(*LAP, F.col("s_m").cast("double").alias("s_start_m"), (F.coalesce(closed, F.lit(-1)) + 1).cast("double").alias("open_from"))
         c = candidates.join(o, [*LAP, "s_start_m"])
-    schema = CANDIDATE + ", open_from double"
-    cols = [f.strip().split(" ")[0] for f in schema.split(",")]
-
-    def keep_strongest(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy choice among one lap's candidates (tens of rows), strongest first; losers widen their winners."""
-        kept: list[dict] = []
-        order = pdf.sort_values(["prominence", "min_speed", "apex_m"], ascending=[False, True, True], kind="stable")
-        for c in order.to_dict("records"):
-            near = [k for k in kept if abs(c["apex_m"] - k["apex_m"]) < min_separation_m]
-            apart = False
-            for k in near:
-                end, start = min(k["s_end_m"], c["s_end_m"]), max(k["s_start_m"], c["s_start_m"])
-                later = c if c["s_start_m"] >= k["s_start_m"] else k
-                # ``open_from``: since where the throttle has been wide open up to the later zone's start.
-                apart = apart or (start - end - 1 >= WOT_GAP_M and later["open_from"] <= end + 1)
-            if near and not apart:
-                for k in near:
-                    if c["s_start_m"] < k["s_start_m"]:
-                        k["s_start_m"], k["open_from"] = c["s_start_m"], c["open_from"]
-                    k["s_end_m"] = max(k["s_end_m"], c["s_end_m"])
-            else:
-                kept.append(c)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return c.select(*cols).groupBy(*LAP).applyInPandas(keep_strongest, schema).drop("open_from")
+    # Rounds of local winners: what is stronger than everything within twice the separation can't touch another winner's
+    # neighbours, so all of them are settled at once; a lap needs as many rounds as its longest chain of weaker neighbours.
+    own = [*LAP, "apex_m", "min_speed", "prominence", "s_start_m", "s_end_m", "open_from"]
+    reach = Window.partitionBy(*LAP).orderBy("apex_m").rangeBetween(-2 * min_separation_m, 2 * min_separation_m)
+    rank = F.struct("prominence", (-F.col("min_speed")).alias("v"), (-F.col("apex_m")).alias("a"))
+    left, kept = materialise(c.select(*own)), None
+    near = Window.partitionBy(*LAP).orderBy("apex_m").rangeBetween(1 - min_separation_m, min_separation_m - 1)
+    while grid is None and not left.isEmpty():  # no throttle keeps neighbours apart: whoever is near a winner has lost
+        ranked = left.withColumn("wins", rank == F.max(rank).over(near))
+        settled = materialise(ranked.withColumn("met", F.bool_or("wins").over(near)))
+        wins, left = settled.filter("wins").select(*own), settled.filter("NOT met").select(*own)
+        kept = wins if kept is None else kept.unionByName(wins)
+    while not left.isEmpty():
+        settled = materialise(left.withColumn("wins", rank == F.max(rank).over(reach)))
+        wins, left = settled.filter("wins").drop("wins"), settled.filter("NOT wins").drop("wins")
+        if kept is None:
+            kept = materialise(wins)
+            continue
+        met = wins.join(kept.select(*LAP, *(F.col(n).alias(f"k_{n}") for n in own[2:])), LAP).filter(F.abs(F.col("apex_m") - F.col("k_apex_m")) < min_separation_m)
+        end, start = F.least("k_s_end_m", "s_end_m"), F.greatest("k_s_start_m", "s_start_m")
+        # ``open_from``: since where the throttle has been wide open up to the later zone's start.
+        later = F.when(F.col("s_start_m") >= F.col("k_s_start_m"), F.col("open_from")).otherwise(F.col("k_open_from"))
+        met = met.withColumn("apart", (start - end - 1 >= WOT_GAP_M) & (later <= end + 1))
+        lost = met.groupBy(*LAP, "apex_m").agg(F.bool_or("apart").alias("apart")).filter("NOT apart").drop("apart")
+        # Losers widen the winners that they were near to; each winner meets one loser a round at most.
+        wide = met.join(lost, [*LAP, "apex_m"]).select(
+            *LAP, F.col("k_apex_m").alias("apex_m"), F.col("s_start_m").alias("l_start"), F.col("s_end_m").alias("l_end"), F.col("open_from").alias("l_open"))
+        earlier = F.coalesce(F.col("l_start") < F.col("s_start_m"), F.lit(False))
+        widened = kept.join(wide, [*LAP, "apex_m"], "left").select(
+            *LAP, "apex_m", "min_speed", "prominence", F.when(earlier, F.col("l_start")).otherwise(F.col("s_start_m")).alias("s_start_m"),
+            F.greatest("s_end_m", "l_end").alias("s_end_m"), F.when(earlier, F.col("l_open")).otherwise(F.col("open_from")).alias("open_from"))
+        kept = materialise(widened.unionByName(wins.join(lost, [*LAP, "apex_m"], "left_anti").select(*own)))
+    return (left if kept is None else kept).drop("open_from")
 
 
 def separate_zones(candidates: DataFrame) -> DataFrame:
@@ -152,7 +157,8 @@ def detect_from_pedals(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M
 def detect_from_speed(grid: DataFrame, min_separation_m: int = MIN_SEPARATION_M) -> DataFrame:
     """Corners of each lap from speed minima alone."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*LAP))
-    g = grid.withColumn("v", F.avg("speed_kph").over(_along().rowsBetween(-2, 2))).withColumn("n", n)
+    # Rounded, so that the order of summation doesn't decide which of two equal speeds is the lower.
+    g = grid.withColumn("v", F.round(F.avg("speed_kph").over(_along().rowsBetween(-2, 2)), 9)).withColumn("n", n)
     low = F.min("v").over(_along().rowsBetween(-LOCAL_RADIUS_M, LOCAL_RADIUS_M))
     lp, rp = F.max("v").over(_along().rowsBetween(-PROMINENCE_M, -1)), F.max("v").over(_along().rowsBetween(1, PROMINENCE_M))
     g = g.withColumn("low", low).withColumn("lp", lp).withColumn("rp", rp).withColumn(
