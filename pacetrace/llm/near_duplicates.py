@@ -15,6 +15,7 @@ from ..functions.storage import materialise
 from .components import components
 from .groups import binary_of, fixed_binary, sorted_runs
 from .textops import U64, mix, random_u64, text_shingles
+from .workers import small_batches, tidy
 
 BANDS, ROWS = 27, 7
 BLOCK = 1024
@@ -59,6 +60,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, bins:
         [StructField("id", LongType()), StructField("n", LongType()), StructField("s1", LongType()), StructField("s2", LongType()), StructField("sketch", BinaryType())]
     )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, s1, s2, sk = [], [], [], []
@@ -81,6 +83,7 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     """``s1, s2, n, items``: the sorted distinct shingle hashes of ``docs(t)``, with what names the set."""
     schema = StructType([*(StructField(c, LongType()) for c in ("s1", "s2", "n")), StructField("items", BinaryType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(found) for _, found, _ in text_shingles(b.column(0), size)]
@@ -99,6 +102,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Of ``pairs(a, b)``, those whose full sets have ``den * common >= num * union``."""
     schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep = np.zeros(t.num_rows, bool)
@@ -132,6 +136,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: bool, bands: int,
     m = m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "n", "label", "sketch")
     m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, ["bucket", "i", "j"]):
             ids, n, label, own = (t.column(c).to_numpy() for c in ("id", "n", "label", "own"))
@@ -190,6 +195,7 @@ def near_duplicates(
     kept.  Rows that repeat an id are one document: it is linked with all that any of its texts is linked with, and each row
     has the size of its own set.  Extra columns are ignored; the order and dealing of rows changes nothing.
     """
+    small_batches(docs.sparkSession)  # a batch holds whole texts, or whole sets
     sig = materialise(signatures(docs, id_col, text_col, size, bands * rows))
     keys = ["s1", "s2", "n"]
     named = sig.filter("n > 0 and id is not null")
