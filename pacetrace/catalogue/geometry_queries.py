@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.storage import materialise
+from ..functions.storage import materialise, scratch_path
+from ..operators import corner_channels as cc
 from ..operators import geometry as geo
 from ..operators import grid as gr
 from ..operators import track_model as tm
+from ..sources import documents as dc
 from ..sources.frames import LAP_LENGTH_M, TRACK_ID
 from . import base
 from .grid_queries import kept, lerp, paired
@@ -355,3 +358,47 @@ def _(spark, sf):
        count_if(status = 'complete')::BIGINT AS complete_bins FROM c_prof""")
 def _(spark, sf):
     return geo.export_summary(profile(spark, sf))
+
+
+def document(spark, rows, heads, order):
+    """Rows written as one document per track, and read back from there with the fields of its head."""
+    out = scratch_path(spark, "documents")
+    dc.write_documents(rows, heads, "track_id", order, out, "items")
+    item = T.StructType([f for f in rows.schema if f.name != "track_id"])
+    head = [f for f in heads.schema if f.name != "track_id"]
+    docs = spark.read.schema(T.StructType([*head, T.StructField("items", T.ArrayType(item))])).option("multiLine", True).json(f"{out}/track_id=*/*.txt")
+    named = docs.withColumn("track_id", F.regexp_extract(F.col("_metadata.file_path"), "track_id=([^/]+)/", 1))
+    return named.select("track_id", *(f.name for f in head), F.posexplode("items").alias("pos", "item")).select("track_id", *(f.name for f in head), F.col("pos").cast("long").alias("pos"), "item.*")
+
+
+def counted(rows):
+    return rows.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+@query("width_profile_document", "S15", "track_id missing_bins complete_bins pos ~s_m ~left_width_m ~right_width_m left_samples right_samples status ~confidence",
+       """SELECT *, 'nation-ring' AS track_id, count(*) FILTER (status = 'missing') OVER () AS missing_bins, count(*) FILTER (status = 'complete') OVER () AS complete_bins, row_number() OVER (ORDER BY s_m) - 1 AS pos FROM c_prof""")
+def _(spark, sf):
+    rows = materialise(profile(spark, sf).select("track_id", "s_m", "left_width_m", "right_width_m", "left_samples", "right_samples", "status", "confidence"))
+    return document(spark, rows, geo.export_summary(rows), ["s_m"])
+
+
+@query("centre_path_document", "S15", "track_id n_samples pos ~s_m ~x_m ~z_m samples", "SELECT *, 'nation-ring' AS track_id, count(*) OVER () AS n_samples, row_number() OVER (ORDER BY s_m) - 1 AS pos FROM c_path")
+def _(spark, sf):
+    rows = materialise(path(spark, sf).select("track_id", "s_m", "x_m", "z_m", "samples"))
+    return document(spark, rows, counted(rows), ["s_m"])
+
+
+@query("boundaries_document", "S15", "track_id n_samples pos ~s_m matched ~left_x ~left_z ~right_x ~right_z", "SELECT *, 'nation-ring' AS track_id, count(*) OVER () AS n_samples, row_number() OVER (ORDER BY s_m) - 1 AS pos FROM c_bnd")
+def _(spark, sf):
+    rows = materialise(edges(spark, sf).select("track_id", "s_m", "matched", "left_x", "left_z", "right_x", "right_z"))
+    return document(spark, rows, counted(rows), ["s_m"])
+
+
+@query("apex_metrics_document", "S15", "track_id n_samples pos session_id segment_index corner_id ~apex_at_m ~edge_distance_m",
+       """SELECT *, 'nation-ring' AS track_id, count(*) OVER () AS n_samples, row_number() OVER (ORDER BY session_id, segment_index, corner_id) - 1 AS pos FROM (SELECT session_id, segment_index, corner_id, r.d AS apex_at_m, r.e AS edge_distance_m FROM (
+       SELECT session_id, segment_index, corner_id, arg_min({'d': raw_lap_distance_m, 'e': track_edge_m - abs(path_lateral_m)}, (abs(raw_lap_distance_m - apex_s_m), frame_id)) AS r
+       FROM c_seg JOIN c_corners ON raw_lap_distance_m BETWEEN s_start_m AND s_end_m GROUP BY session_id, segment_index, corner_id))""")
+def _(spark, sf):
+    f = base.seg_frames(spark, sf).withColumn("track_id", F.lit(TRACK_ID))
+    rows = materialise(cc.apex_metrics(f, base.corners(spark, sf)).select(F.lit(TRACK_ID).alias("track_id"), *gr.LAP, "corner_id", "apex_at_m", "edge_distance_m"))
+    return document(spark, rows, counted(rows), [*gr.LAP, "corner_id"])

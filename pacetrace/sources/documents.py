@@ -152,3 +152,22 @@ def lap_payload(facts: DataFrame, n: int = 3) -> DataFrame:
         "payload",
         F.to_json(F.struct(F.lit("lap_coaching_summary").alias("type"), "track_id", "top_losses", "top_gains"), {"ignoreNullFields": "true"}),
     )
+
+
+def write_documents(rows: DataFrame, heads: DataFrame, by: str, order: Sequence[str], path: str, items: str = "samples") -> None:
+    """One JSON document per value of ``by``: the fields of its row in ``heads``, then ``rows`` in order as the list ``items``.
+
+    A document is written line by line by one task as its rows come out of the sort, so its length is not bound by memory,
+    and no row passes the driver.  Values of ``by`` without rows give an empty list.
+    """
+    fields = lambda df: F.to_json(F.struct(*(c for c in df.columns if c != by)), {"ignoreNullFields": "false"})
+    first = F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1
+    keys = [f"__{i}" for i in range(len(order))]
+    body = rows.select(by, F.lit(1).alias("__part"), *(F.col(c).alias(k) for c, k in zip(order, keys)),
+                       F.concat(F.when(first, "").otherwise(","), fields(rows)).alias("value"))
+    none = [F.lit(None).cast(body.schema[k].dataType).alias(k) for k in keys]
+    open_ = fields(heads)
+    head = heads.select(by, F.lit(0).alias("__part"), *none, F.concat(F.substr(open_, F.lit(1), F.length(open_) - 1), F.lit(f',"{items}":[')).alias("value"))
+    tail = heads.select(by, F.lit(2).alias("__part"), *none, F.lit("]}").alias("value"))
+    lines = body.unionByName(head).unionByName(tail).repartition(by).sortWithinPartitions(by, "__part", *keys)
+    lines.select(by, "value").write.partitionBy(by).text(path)
