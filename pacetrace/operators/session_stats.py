@@ -166,6 +166,19 @@ def priorities(phases: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
+# The texts of the advice.
+ADVICE = {
+    "min_speed": "carry %.0f km/h more minimum speed",
+    "exit_speed": "carry %.0f km/h more speed onto the straight",
+    "entry": "brake %.0f m later",
+    "exit_brake": "hold the brake %.0f m longer",
+    "exit_throttle": "back on the throttle %.0f m earlier",
+    "exit": "get back on the throttle %.0f m earlier",
+    "trail": "hold the brake %.0f m past the apex",
+    "nothing": "losing %.1f s here with no single measurable cause — watch this corner on the data",
+}
+
+
 def _ordinal(n: Column) -> Column:
     suffix = (
         F.when((n % 100).between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th"))
@@ -203,19 +216,19 @@ def suggested_changes(
 
     gear_word = F.when(F.col("g_mine") > F.col("g_ref"), "lower").otherwise("higher")
     clauses = {
-        "min_speed": text("carry %.0f km/h more minimum speed", "low_deficit", F.col("low_deficit") >= MIN_SPEED_KPH),
-        "exit_speed": text("carry %.0f km/h more speed onto the straight", "exit_deficit", F.col("exit_deficit") >= MIN_SPEED_KPH),
-        "entry": text("brake %.0f m later", "entry_d", F.col("entry_d") > 0),
+        "min_speed": text(ADVICE["min_speed"], "low_deficit", F.col("low_deficit") >= MIN_SPEED_KPH),
+        "exit_speed": text(ADVICE["exit_speed"], "exit_deficit", F.col("exit_deficit") >= MIN_SPEED_KPH),
+        "entry": text(ADVICE["entry"], "entry_d", F.col("entry_d") > 0),
         "exit": F.coalesce(
-            text("hold the brake %.0f m longer", "exit_brake_d", F.col("exit_brake_d") > 0),
-            text("back on the throttle %.0f m earlier", "exit_throttle_d", F.col("exit_throttle_d") > 0),
-            text("get back on the throttle %.0f m earlier", "exit_d", F.col("exit_d") > 0)),
+            text(ADVICE["exit_brake"], "exit_brake_d", F.col("exit_brake_d") > 0),
+            text(ADVICE["exit_throttle"], "exit_throttle_d", F.col("exit_throttle_d") > 0),
+            text(ADVICE["exit"], "exit_d", F.col("exit_d") > 0)),
         "gear": F.when(
             (F.col("g_mine") > 0) & (F.col("g_ref") > 0) & (F.col("g_mine") != F.col("g_ref")),
             F.concat(F.lit("one gear "), gear_word, F.lit(" at the apex ("), _ordinal(F.col("g_ref")), F.lit(", not "), _ordinal(F.col("g_mine")), F.lit(")"))),
         "trail": F.when(
             F.col("t_ref") - F.col("t_mine") >= MIN_TRAIL_M,
-            F.format_string("hold the brake %.0f m past the apex", F.rint(F.col("t_ref") - F.col("t_mine")))),
+            F.format_string(ADVICE["trail"], F.rint(F.col("t_ref") - F.col("t_mine")))),
     }
     clauses["exit_speed"] = F.when(clauses["min_speed"].isNull(), clauses["exit_speed"])
     sliding = F.coalesce(F.col("state") == "measured_instability", F.lit(False))
@@ -243,7 +256,7 @@ def suggested_changes(
     opening = lambda c: F.substring_index(c, " ", 2)
     unique = F.filter("__all", lambda c, i: ~F.exists(F.slice("__all", F.lit(1), i), lambda k: opening(k) == opening(c)))
     chosen = F.slice(unique, 1, 2)
-    fallback = F.format_string("losing %.1f s here with no single measurable cause — watch this corner on the data", "recurring_loss_s")
+    fallback = F.format_string(ADVICE["nothing"], "recurring_loss_s")
     return j.withColumn("suggestion", F.when(F.size(chosen) > 0, F.array_join(chosen, " and ")).otherwise(fallback)).select(
         *ranked.columns, "suggestion")
 

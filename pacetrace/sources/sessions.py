@@ -38,6 +38,7 @@ SIDECAR_SCHEMA = (
     "lap_count long, in_progress boolean, recovered boolean"
 )
 
+# The patterns of file names.
 STEM = r"(session_[^/]+?)(?:\.part\d+)?\.parquet"
 PART = r"\.part(\d+)\.parquet"
 REFERENCE_TIME = r"_time_(\d+)\.(\d+)\.(\d+)\.parquet$"
