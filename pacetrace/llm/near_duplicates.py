@@ -192,13 +192,17 @@ def near_duplicates(
     component are never formed, so a group of near copies costs about a pair per member.
 
     Null or empty text, and text of white space only: no shingles, linked with nothing.  A null id: ``component_id`` null and
-    kept.  Rows that repeat an id are one document: it is linked with all that any of its texts is linked with, and each row
-    has the size of its own set.  Extra columns are ignored; the order and dealing of rows changes nothing.
+    kept.  Rows that repeat an id are one document: where their texts differ, the one whose set has the smallest hash is
+    linked, all get its component, and each row has the size of its own set.  Extra columns are ignored; the order and dealing
+    of rows changes nothing.
     """
     small_batches(docs.sparkSession)  # a batch holds whole texts, or whole sets
     sig = materialise(signatures(docs, id_col, text_col, size, bands * rows))
     keys = ["s1", "s2", "n"]
     named = sig.filter("n > 0 and id is not null")
+    several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high"))
+    several = materialise(several.filter("low <> high").select("id", "low"))
+    named = named.join(several, "id", "left").filter(F.col("low").isNull() | (F.col("low") == F.struct("s1", "s2"))).drop("low")
     # From here on, a node is a class of equal sets, and ``id`` its number; ``first`` is one document that has it.
     reps = materialise(
         named.groupBy(*keys).agg(F.min(F.struct("id", "sketch")).alias("r"))
@@ -237,11 +241,9 @@ def near_duplicates(
         more = materialise(verified(_cross_pairs(left, num, den, best, bands, rows), sets, num, den))
         links = links.unionByName(more)
 
-    # A document ties the classes of its texts together; then every component has its smallest document.
+    # Every component has its smallest document.
     node_of = materialise(named.select("id", *keys).distinct().join(reps.select(*keys, F.col("id").alias("node")), keys).select("id", "node"))
-    several = node_of.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
-    ties = node_of.join(several, "id").select("a", F.col("node").alias("b")).filter("a <> b")
-    label = components(links.unionByName(ties))
+    label = components(links)
     placed = materialise(node_of.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("group")).distinct())
     lowest = placed.groupBy("group").agg(F.min("id").alias("component"))
     of_id = placed.join(materialise(lowest), "group").select("id", "component")
