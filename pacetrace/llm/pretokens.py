@@ -204,7 +204,7 @@ class Encoder:
     """Ids of texts from a tokenizer file; one per worker and file."""
 
     #: What the cache may hold when a run of texts begins; then it starts anew.
-    MAX_BYTES = 16 << 20
+    MAX_BYTES = 64 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
